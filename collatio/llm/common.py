@@ -38,6 +38,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def open_fs(path: str):
+    """(file system, path in it) of a path of the shared storage, on any machine."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        uri = path if "://" in path else "file://" + path.removeprefix("file:")
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), path
+
+
 def null_safe(left: DataFrame, right: DataFrame, names: list[str]):
     on = None
     for name in names:

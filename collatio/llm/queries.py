@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from collatio.llm import sentencepiece_codec, token_files
+from collatio.llm import exact_dedup, sentencepiece_codec, sharding, token_files, url_filter
 from collatio.llm.common import fresh_path, table
 
 #: Folder of the public tokenizers' files; a parameter, not part of the repository.
@@ -32,9 +32,29 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digest(spark, path)
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.QUERY_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_files": op2_token_files,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_sharding": op4_sharding,
+    "op5_url_filter": op5_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op4_sharding": sharding.ORACLE_SQL,
+    "op5_url_filter": url_filter.ORACLE_SQL,
+}

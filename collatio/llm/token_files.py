@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from collatio.llm.common import open_fs
+
 FRAME_IDS = 1 << 17
 LEVEL = 3
 #: Entries of one generation of the word table, of which two are kept.
@@ -42,15 +44,6 @@ _INDEX_FRAME = 0x184D2A5B
 _HAS_CHECKSUM = 0x80
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    if "://" in path or path.startswith("file:"):
-        uri = path if "://" in path else "file://" + path.removeprefix("file:")
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), path
-
-
 class WordTable(dict):
     """White-space-free word -> ids as bytes, each segmented once by the library.
 
@@ -206,7 +199,7 @@ def write(df: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, id_col
     Manifest: (part int, file string, n_docs long, n_ids long), by part.
     """
     spark = df.sparkSession
-    fs, root = _open(path)
+    fs, root = open_fs(path)
     fs.create_dir(root, recursive=True)
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
@@ -214,7 +207,7 @@ def write(df: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, id_col
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         name = f"part-{part:06d}-{attempt}.ids.zst"
-        fs, root = _open(path)
+        fs, root = open_fs(path)
         words = word_table(tokenizer_file)
         writer = sink = None
         docs = 0
@@ -258,7 +251,7 @@ def _scan(spark: SparkSession, path: str, each, schema: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(files)
 
     def run(batches):
-        fs, root = _open(path)
+        fs, root = open_fs(path)
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 name, start = shared.value[k]
