@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from collatio.llm import exact_dedup, sentencepiece_codec, sharding, token_files, url_filter
+from collatio.llm import exact_dedup, sentencepiece_codec, sharding, simhash, token_files, url_filter
 from collatio.llm.common import fresh_path, table
 
 #: Folder of the public tokenizers' files; a parameter, not part of the repository.
@@ -45,12 +45,17 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
     "op5_url_filter": op5_url_filter,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
