@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from collatio.llm import exact_dedup, sentencepiece_codec, sharding, simhash, token_files, url_filter
+from collatio.llm import decontam, exact_dedup, license_scan, sentencepiece_codec, sharding, simhash, token_files, toxicity, url_filter
 from collatio.llm.common import fresh_path, table
 
 #: Folder of the public tokenizers' files; a parameter, not part of the repository.
@@ -49,17 +49,34 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
     "op5_url_filter": op5_url_filter,
+    "op6_license_scan": op6_license_scan,
     "op7_simhash": op7_simhash,
+    "op9_toxicity": op9_toxicity,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op5_url_filter": url_filter.ORACLE_SQL,
+    "op6_license_scan": license_scan.ORACLE_SQL,
 }
