@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,17 @@ def open_fs(path: str):
     return fs.LocalFileSystem(), path
 
 
+def narrow(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about `limit` bytes of text, a row at least."""
+    if batch.num_rows == 0:
+        return
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // limit
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
+    for a, b in zip(starts, starts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def null_safe(left: DataFrame, right: DataFrame, names: list[str]):
     on = None
     for name in names:

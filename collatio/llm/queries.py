@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from collatio.llm import decontam, exact_dedup, license_scan, sentencepiece_codec, sharding, simhash, token_files, toxicity, url_filter
+from collatio.llm import decontam, exact_dedup, license_scan, lm_scoring, sentencepiece_codec, sharding, simhash, token_files, toxicity, url_filter
 from collatio.llm.common import fresh_path, table
 
 #: Folder of the public tokenizers' files; a parameter, not part of the repository.
@@ -53,6 +53,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.train(docs))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -70,6 +75,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_license_scan": op6_license_scan,
     "op7_simhash": op7_simhash,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }

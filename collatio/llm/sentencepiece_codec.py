@@ -18,14 +18,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from collatio.llm.common import narrow
+
 #: Entries of one generation of the chunk table, of which two are kept.
 TABLE_ENTRIES = 250_000
 #: Longer chunks are segmented without being kept.
@@ -107,17 +107,6 @@ def codec(model_file: str, entries: int = TABLE_ENTRIES) -> Codec:
     return _CODECS[key]
 
 
-def _narrow(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about `limit` bytes of text, a row at least."""
-    if batch.num_rows == 0:
-        return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes, dtype=np.int64) // limit
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
-    for a, b in zip(starts, starts[1:]):
-        yield batch.slice(a, b - a)
-
-
 def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", entries: int = TABLE_ENTRIES) -> DataFrame:
     """(id, ids array<int>) with begin and end ids for every row.
 
@@ -128,7 +117,7 @@ def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         c = codec(model_file, entries)
         for batch in batches:
-            for part in _narrow(batch, SLICE_CHARS):
+            for part in narrow(batch, SLICE_CHARS):
                 ids = [np.frombuffer(c.encode(t), dtype="<i4") for t in part.column(1).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
@@ -166,7 +155,7 @@ def round_trip_digest(df: DataFrame, model_file: str, id_col: str = "doc_id", te
     def run(batches):
         c = codec(model_file, entries)
         for batch in batches:
-            for part in _narrow(batch, SLICE_CHARS):
+            for part in narrow(batch, SLICE_CHARS):
                 rows = []
                 for text in part.column(1).to_pylist():
                     ids = c.encode(text)

@@ -14,6 +14,7 @@ pair of the splits is compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,9 @@ from collatio.llm.common import connected_components, cut
 #: Shingles hashed at once: bounds what a very long text needs.
 CHUNK_SHINGLES = 1 << 18
 #: Fingerprints of one side compared at once.
-TILE = 2048
+TILE = 512
 #: A signature with more fingerprints is split into tiles of about this size.
-SPLIT = 16384
+SPLIT = 65536
 SEED = 42
 
 
@@ -281,3 +282,41 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, parts: int
     alone = named.select("rep", "least").join(grouped, "rep", "left").select(F.col("rep").alias("_rep"), F.coalesce("component", "least").alias("component"))
     joined = prints.withColumn("rep", F.col("fp")[0]).join(alone, F.col("rep") == F.col("_rep"))
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("rep"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+#: Near copies: at least this Jaccard similarity of the sets of shingles of
+NEAR, NEAR_WIDTH = 0.8, 5
+#: words, as fingerprints of 256 bits show it: sets that similar are expected
+#: to differ in 39 bits (standard deviation 6), unrelated ones in 128 (8).
+NEAR_LANES, NEAR_RADIUS = 4, 52
+
+
+def near_groups(docs: DataFrame, width: int = NEAR_WIDTH, lanes: int = NEAR_LANES, radius: int = NEAR_RADIUS, least_ratio: float = NEAR, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Near copies by wide fingerprints of shingle sets: (classes, members).
+
+    Two texts link if their fingerprints differ in at most radius bits and
+    their numbers of distinct shingles have a quotient of at least least_ratio
+    (which the similarity implies).  A cell is a step of that quotient, so
+    only cells next to each other meet; within them every pair is compared.
+    classes: (rep, root, best), best being the row of the class with the
+    smallest id, then text hash; members: (id, sha, rep), with copies.
+    Null, empty and blank texts are one class; null ids come last.
+    """
+    prints = fingerprints(docs, width, lanes, True, id_col, text_col)
+    members = cut(prints.groupBy("id", "sha", "fp", "n_shingles").agg(F.count("*").alias("n")))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha", "n")).alias("best")
+    classes = cut(members.groupBy("fp", "n_shingles").agg(best).withColumn("rep", F.monotonically_increasing_id()))
+    step = math.log(1 / least_ratio) * (1 + 1e-6)
+    cell = F.when(F.col("n_shingles") > 0, F.floor(F.log(F.col("n_shingles").cast("double")) / step)).otherwise(-2)
+    celled = classes.select("rep", "fp", F.col("n_shingles").alias("size"), cell.cast("int").alias("cell"))
+    edges = cut(links(celled, [1], lanes, radius, least_ratio))
+    roots = connected_components(edges)
+    rooted = classes.join(roots, classes.rep == roots.node, "left")
+    return rooted.select("rep", "fp", "n_shingles", F.coalesce("root", "rep").alias("root"), "best"), members
+
+
+def kept_keys(docs: DataFrame, **options) -> DataFrame:
+    """(id, sha, n) of the row that stays of every group, for common.retain."""
+    classes, _ = near_groups(docs, **options)
+    stays = classes.groupBy("root").agg(F.min("best").alias("best"))
+    return stays.select("best.id", "best.sha", "best.n")
