@@ -1,0 +1 @@
+"""Collation and analysis of text witnesses on Spark DataFrames."""
