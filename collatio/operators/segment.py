@@ -23,8 +23,8 @@ def sentences(rows: DataFrame, keys: list[str], text: str, profile: TextProfile
     nothing is shuffled.
     """
     source = T.without_bylines(F.col(text), profile) if clean_bylines else F.col(text)
-    found = rows.select(*keys, F.posexplode(sentence_pieces(source, profile)).alias("k", "s"))
-    return found.select(*keys, (F.col("k") + 1).alias("sentence_idx"), F.col("s.text").alias("text"), F.col("s.plain").alias("plain"))
+    found = rows.select(*keys, F.posexplode(sentence_pieces(source, profile)).alias("_at", "_piece"))
+    return found.select(*keys, (F.col("_at") + 1).alias("sentence_idx"), F.col("_piece.text").alias("text"), F.col("_piece.plain").alias("plain"))
 
 
 def skipped_pieces(rows: DataFrame, text: str, profile: TextProfile = HAN_CORPUS) -> DataFrame:

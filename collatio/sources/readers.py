@@ -42,7 +42,7 @@ LETTER_ROWS = (
 
 def marked_text(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """(file_name, text): whole files, line breaks as they are."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
 
 
