@@ -122,6 +122,15 @@ class Trie:
             stack.extend(node.kids.values())
         return total
 
+    def _spilled(self, node: _Node) -> list:
+        out, stack = [], [node]
+        while stack:
+            node = stack.pop()
+            if node.file is not None:
+                out.append(node.file)
+            stack.extend(node.kids.values())
+        return out
+
     def _spill(self) -> None:
         """Writes out the heaviest subtree of the first fork on the heavy path."""
         node, prefix = self.root, b""
@@ -131,17 +140,22 @@ class Trie:
                 return
             kid = max(kids, key=self._size)
             whole = self._size(kid)
-            if whole > self.bytes // 2 and len([k for k in kid.kids.values() if k.file is None]) > 1:
+            if whole > self.bytes // 2 and any(k.file is None for k in kid.kids.values()):
                 node, prefix = kid, prefix + kid.label
                 continue
             break
         if not kid.kids and self.bytes - whole < _NODE_BYTES:
             return  # a single string: nothing smaller to hold
-        kid.file = self.new_file()
-        self.files.append(kid.file)
+        file = self.new_file()
         for key, held in self._walk(kid, prefix + kid.label):
-            kid.file.write(_record(key, held))
-        kid.kids, kid.held = {}, None
+            file.write(_record(key, held))
+        # what lay in the shared folder below it goes along: one file for each subtree
+        for below in self._spilled(kid):
+            self.files.remove(below)
+            for key, held in below.read():
+                file.write(_record(key, held))
+        kid.kids, kid.held, kid.file = {}, None, file
+        self.files.append(file)
         self.bytes -= whole - _NODE_BYTES
 
     def items(self) -> Iterator[tuple[bytes, Held]]:
