@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from collatio.llm.common import narrow
 
 #: Entries of one generation of the chunk table, of which two are kept.
-TABLE_ENTRIES = 250_000
+TABLE_ENTRIES = 120_000
 #: Longer chunks are segmented without being kept.
 KEEP_CHARS = 64
 #: Characters of text handled at once: bounds what a worker holds besides a text.
@@ -40,9 +40,13 @@ _CHUNKS = re.compile(f"{_MARK}*[^{_MARK}]+|{_MARK}+")
 class ChunkTable(dict):
     """Chunk (without its first marker) -> ids as little-endian uint32 bytes."""
 
-    def __init__(self, segment, entries: int = TABLE_ENTRIES):
+    def __init__(self, sp, entries: int = TABLE_ENTRIES):
         super().__init__()
-        self._segment, self._entries, self._old = segment, entries, {}
+        self._sp, self._entries, self._old = sp, entries, {}
+
+    def _segment(self, chunk: str) -> list[int]:
+        # a marker alone is no text to the library, which would drop it
+        return self._sp.encode(chunk) if chunk else [self._sp.piece_to_id(_MARK)]
 
     def __missing__(self, chunk: str) -> bytes:
         found = self._old.get(chunk)
@@ -75,7 +79,7 @@ class Codec:
         self.sp = load(model_file)
         if bad := crossing_pieces(self.sp):
             raise ValueError(f"pieces cross whitespace markers: {bad[:3]}")
-        self.table = ChunkTable(self.sp.encode, entries)
+        self.table = ChunkTable(self.sp, entries)
         self.begin = np.asarray([self.sp.bos_id()], dtype="<u4").tobytes()
         self.end = np.asarray([self.sp.eos_id()], dtype="<u4").tobytes()
 
