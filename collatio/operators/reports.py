@@ -35,6 +35,11 @@ def distribution(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
     return full.withColumn("share", F.coalesce(F.try_divide(F.col("n"), total), F.lit(0.0))).orderBy("position")
 
 
+def bar(share: Column, width: int = 50) -> Column:
+    """A bar of blocks for a share of 1."""
+    return F.repeat(F.lit("█"), (share * width).cast("int"))
+
+
 def category_distribution(rows: DataFrame, profile: TextProfile = HAN_CORPUS) -> DataFrame:
     a, b = profile.keyword_names
     return distribution(rows, f"{a}_{b}_category", T.categories(profile))

@@ -230,6 +230,40 @@ def decode_labels(spark, sf_dir):
     return items.where("length(letters) > 0").select("item_id", T.apply_predictions(F.col("letters"), preds, marks).alias("text"))
 
 
+def _summaries(spark, sf_dir) -> DataFrame:
+    """Documents as if aligned with their own letters: sizes, ratios and counts."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("a_chars"), F.length(T.plain(F.col("text"), LATIN)).alias("b_plain_chars"))
+    ratio = F.round(F.col("b_plain_chars") / F.greatest(F.col("a_chars"), F.lit(1)), 4)
+    changed = F.col("a_chars") - F.col("b_plain_chars")
+    return docs.select(
+        F.col("doc_id").cast("string").alias("juan_label"), F.col("doc_id").alias("juan_num"), "a_chars", "b_plain_chars",
+        ratio.alias("strict_ratio"), F.sqrt(ratio).alias("relaxed_ratio"),
+        changed.alias("mismatch_count"), F.floor(changed / 3).alias("variant_count"), (changed - F.floor(changed / 3)).alias("substantive_count"),
+    )
+
+
+def alignment_totals(spark, sf_dir):
+    return align.weighted_means(_summaries(spark, sf_dir))
+
+
+def alignment_lowest(spark, sf_dir):
+    return align.lowest(_summaries(spark, sf_dir)).select("juan_label", "juan_num", "a_chars")
+
+
+def mismatch_types(spark, sf_dir):
+    """Line items as mismatches: flags as types, equal quantities as variants."""
+    items = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("type"), (F.col("l_linestatus") == "O").alias("is_variant"))
+    return align.type_distribution(items)
+
+
+def sexagenary_years(spark, sf_dir):
+    """Years of annotations that name two years of the cycle."""
+    names = F.array(*[F.lit(n) for n in T.SEXAGENARY_YEARS])
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 37).cast("int").alias("a"), (F.col("o_custkey") % 31).cast("int").alias("b"))
+    note = F.concat_ws("○", F.lit("甲"), F.coalesce(F.get(names, F.col("a")), F.lit("x")), F.coalesce(F.get(names, F.col("b")), F.lit("y")))
+    return orders.select("o_orderkey", T.sexagenary_year(note).alias("year"))
+
+
 def stage_counters(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     sections = docs.select(F.split("text", "\n").alias("paragraphs"), F.col("text").alias("raw_concat"), F.transform(F.split("text", "\n"), lambda p: F.when(p.endswith(")"), F.struct(p.alias("raw")))).alias("paragraphs_byline"))
@@ -252,12 +286,19 @@ QUERIES = {
         top_sections, rollup_report, order_rollup, conditional_summary, byline_strip, dedupe_repeats, paragraph_islands, witness_join,
         unmatched_keys, inventory_missing, letters_by_target, overall_totals, plain_text, char_counts, line_numbers, page_text,
         align_opcodes, align_summary, align_mismatches, punctuate_transfer, fallback_spans, decode_labels, stage_counters, numerals,
+        alignment_totals, alignment_lowest, mismatch_types, sexagenary_years,
     )
 }
 
 _CATEGORY = "CASE WHEN contains(plain, 'tion') AND contains(plain, 'ment') THEN 'both' WHEN contains(plain, 'tion') THEN 'tion_only' WHEN contains(plain, 'ment') THEN 'ment_only' ELSE 'neither' END"
 _BUCKET = "CASE WHEN char_count <= 3 THEN '1-3' WHEN char_count <= 10 THEN '4-10' WHEN char_count <= 30 THEN '11-30' WHEN char_count <= 60 THEN '31-60' WHEN char_count <= 100 THEN '61-100' ELSE '101+' END"
 
+_SQL_SUMMARIES = r"""
+c AS (SELECT doc_id, n_chars AS a_chars, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS b_plain_chars FROM documents),
+s AS (SELECT doc_id::VARCHAR AS juan_label, doc_id AS juan_num, a_chars, b_plain_chars, round(b_plain_chars::DOUBLE / greatest(a_chars, 1), 4) AS strict_ratio,
+             sqrt(round(b_plain_chars::DOUBLE / greatest(a_chars, 1), 4)) AS relaxed_ratio, a_chars - b_plain_chars AS m, (a_chars - b_plain_chars) // 3 AS v FROM c)
+"""
+
 ORACLE_SQL = {
     "segment_sentences": f"WITH {_SQL_SENTENCES} SELECT doc_id, paragraph_idx, sentence_idx, text, plain, char_count FROM sentences",
     "skipped_pieces": f"WITH {_SQL_SENTENCES} SELECT count(*) AS skipped FROM stripped WHERE plain = '' AND text <> ''",
@@ -325,5 +366,11 @@ ORACLE_SQL = {
     "stage_counters": """WITH p AS (SELECT text, string_split(text, chr(10)) AS parts FROM documents),
         s AS (SELECT count(*) AS records, sum(len(parts))::BIGINT AS paragraphs, sum(length(text))::BIGINT AS chars, sum(len(list_filter(parts, lambda x: ends_with(x, ')'))))::BIGINT AS bylines FROM p)
         SELECT records, paragraphs, chars, bylines, bylines::DOUBLE / paragraphs AS byline_share FROM s""",
+    "alignment_totals": f"""WITH {_SQL_SUMMARIES} SELECT count(*) AS sections, sum(strict_ratio * (a_chars + b_plain_chars)) / sum(a_chars + b_plain_chars) AS strict,
+        sum(relaxed_ratio * (a_chars + b_plain_chars)) / sum(a_chars + b_plain_chars) AS relaxed, sum(a_chars)::BIGINT AS a_chars, sum(b_plain_chars)::BIGINT AS b_chars,
+        sum(m)::BIGINT AS mismatches, sum(v)::BIGINT AS variants, sum(m - v)::BIGINT AS substantive, 100.0 * sum(v) / sum(m) AS variant_pct, 100.0 * sum(m - v) / sum(m) AS substantive_pct FROM s""",
+    "alignment_lowest": f"WITH {_SQL_SUMMARIES} SELECT juan_label, juan_num, a_chars FROM s ORDER BY relaxed_ratio, juan_num LIMIT 5",
+    "mismatch_types": "SELECT l_returnflag AS type, count(*) AS n FROM lineitem WHERE l_linestatus <> 'O' GROUP BY 1",
+    "sexagenary_years": "SELECT o_orderkey, CASE WHEN least(o_orderkey % 37, o_custkey % 31) < 30 THEN (1554 + least(o_orderkey % 37, o_custkey % 31))::INT END AS year FROM orders",
     "numerals": "SELECT p_partkey, CASE WHEN p_size = 0 THEN -1 ELSE p_size END AS number FROM part",
 }

@@ -51,6 +51,20 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of files that hold one JSON array of objects each."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def named_slices(spark: SparkSession, path: str) -> DataFrame:
+    """(name, note, text) of a text file of blocks `### name — note`, text, blank line."""
+    files = spark.read.text(path, wholetext=True)
+    blocks = files.select(F.explode(F.split("value", r"(?m)^###[ \t]*")).alias("block")).where("trim(block) <> ''")
+    head, body = F.regexp_extract("block", r"^([^\r\n]*)", 1), F.regexp_extract("block", r"(?s)^[^\r\n]*\r?\n(.*)$", 1)
+    return blocks.select(F.trim(F.regexp_extract(head, "^([^—]*)", 1)).alias("name"), F.trim(F.regexp_extract(head, "—(.*)$", 1)).alias("note"), F.trim(F.regexp_replace(body, r"[\r\n]+", "")).alias("text"))
+
+
 def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(file_name, length) of the files, without reading them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)

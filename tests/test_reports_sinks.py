@@ -109,3 +109,27 @@ def test_chain(spark):
     found = chains.corpus(a, b).sentences.orderBy("sentence_id").collect()
     assert [(r.text_punctuated, r.li_qi_category) for r in found] == [("甲理。", "li_only"), ("乙氣。", "qi_only")]
     assert chains.collate(a, b).summary.first().strict_ratio == 1.0
+
+
+def test_model_plug(spark, tmp_path):
+    from collatio.functions import models
+
+    def loader():
+        return lambda texts: [[(i + 1, "B-0") for i, c in enumerate(t) if c == "也"] for t in texts]
+
+    rows = spark.createDataFrame([(1, "甲也乙"), (2, None), (3, "")], "k int, t string")
+    got = {r.k: r.p for r in models.punctuate(rows, "t", loader, {"。": 0}, "p").collect()}
+    assert got == {1: "甲也。乙", 2: None, 3: ""}
+    (tmp_path / "m" / "w").mkdir(parents=True)
+    (tmp_path / "m" / "w" / "x.safetensors").write_text("")
+    (tmp_path / "m" / "label2id.json").write_text('{"。": 0}')
+    assert models.read_label_ids(str(tmp_path / "m")) == {"。": 0}
+
+
+def test_slices(spark, tmp_path):
+    from collatio.sources import readers
+
+    (tmp_path / "s.txt").write_text("### a — first\n甲乙\n\n### b — second\n丙\n\n", encoding="utf-8")
+    assert [tuple(r) for r in readers.named_slices(spark, str(tmp_path / "s.txt")).collect()] == [("a", "first", "甲乙"), ("b", "second", "丙")]
+    (tmp_path / "m.json").write_text('[{"name": "a", "n": 1}, {"name": "b", "n": 2}]')
+    assert readers.json_array(spark, str(tmp_path / "m.json"), "name string, n int").count() == 2
