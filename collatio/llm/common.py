@@ -32,9 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and drop the lineage."""
+def cut(df: DataFrame, slim: bool = False) -> DataFrame:
+    """Materialise in the shared folder and drop the lineage.
+
+    slim: rows of a few numbers behind a shuffle; they are written in a few
+    files for each core of the cluster, not in one for each shuffle partition.
+    """
     shared_dir(df.sparkSession)
+    if slim:
+        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
 
 
@@ -87,7 +93,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .where("hi <> lo")
         .distinct()
     )
-    links = cut(start)
+    links = cut(start, slim=True)
     if links.isEmpty():
         return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     for _ in range(max_rounds):
@@ -118,7 +124,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("hi <> lo")
             .distinct()
         )
-        after = cut(small)
+        after = cut(small, slim=True)
         # every node now points at one root, and no root points further: done
         deep = after.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1")
         chained = after.select(F.col("lo").alias("hi")).join(after, "hi", "left_semi")
@@ -143,13 +149,10 @@ def retain(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: s
         F.col(f"`{id_col}`").alias("_k_id"),
         F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("_k_sha"),
     )
-    one = keys.where("n = 1").select(F.col("id").alias("_k_id"), F.col("sha").alias("_k_sha"))
-    more = keys.where("n > 1").select(F.col("id").alias("_k_id"), F.col("sha").alias("_k_sha"))
-    single = packed.join(one, null_safe(packed, one, ["_k_id", "_k_sha"]), "left_semi")
-    several = (
-        packed.join(more, null_safe(packed, more, ["_k_id", "_k_sha"]), "left_semi")
-        .groupBy("_k_id", "_k_sha")
-        .agg(F.first("_row").alias("_row"))
-        .select("_row", "_k_id", "_k_sha")
-    )
-    return single.union(several).select("_row.*")
+    keys = cut(keys.select(F.col("id").alias("_k_id"), F.col("sha").alias("_k_sha"), "n"), slim=True)
+    one, more = keys.where("n = 1"), keys.where("n > 1")
+    kept = packed.join(one, null_safe(packed, one, ["_k_id", "_k_sha"]), "left_semi")
+    if not more.isEmpty():
+        several = packed.join(more, null_safe(packed, more, ["_k_id", "_k_sha"]), "left_semi")
+        kept = kept.union(several.groupBy("_k_id", "_k_sha").agg(F.first("_row").alias("_row")).select("_row", "_k_id", "_k_sha"))
+    return kept.select("_row.*")

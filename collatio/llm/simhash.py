@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, parts: int
     # the first word itself names a class
     named = classes.select(F.col("fp")[0].alias("rep"), "fp", F.lit(0).cast("long").alias("size"), "least")
     celled, steps = _cells_by_counts(named.drop("least"), parts, radius)
-    edges = cut(links(celled, steps, 1, radius))
+    edges = cut(links(celled, steps, 1, radius), slim=True)
     roots = connected_components(edges)
     linked = named.join(roots, named.rep == roots.node).select("rep", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
@@ -305,11 +305,11 @@ def near_groups(docs: DataFrame, width: int = NEAR_WIDTH, lanes: int = NEAR_LANE
     prints = fingerprints(docs, width, lanes, True, id_col, text_col)
     members = cut(prints.groupBy("id", "sha", "fp", "n_shingles").agg(F.count("*").alias("n")))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha", "n")).alias("best")
-    classes = cut(members.groupBy("fp", "n_shingles").agg(best).withColumn("rep", F.monotonically_increasing_id()))
+    classes = cut(members.groupBy("fp", "n_shingles").agg(best).withColumn("rep", F.monotonically_increasing_id()), slim=True)
     step = math.log(1 / least_ratio) * (1 + 1e-6)
     cell = F.when(F.col("n_shingles") > 0, F.floor(F.log(F.col("n_shingles").cast("double")) / step)).otherwise(-2)
     celled = classes.select("rep", "fp", F.col("n_shingles").alias("size"), cell.cast("int").alias("cell"))
-    edges = cut(links(celled, [1], lanes, radius, least_ratio))
+    edges = cut(links(celled, [1], lanes, radius, least_ratio), slim=True)
     roots = connected_components(edges)
     rooted = classes.join(roots, classes.rep == roots.node, "left")
     return rooted.select("rep", "fp", "n_shingles", F.coalesce("root", "rep").alias("root"), "best"), members

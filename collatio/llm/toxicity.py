@@ -38,7 +38,7 @@ MIN_Z = 3.2
 DIM, EPOCHS, RATE, DECAY, SEED = 8, 300, 0.05, 1e-4, 7
 THRESHOLD = 0.7
 #: Words of which a worker keeps the sums.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 150_000
 
 _WORDS = re.compile(r"\w+")
 _SENTENCES = re.compile(r"[.!?\n]+")
