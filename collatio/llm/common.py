@@ -35,12 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, slim: bool = False) -> DataFrame:
     """Materialise in the shared folder and drop the lineage.
 
-    slim: rows of a few numbers behind a shuffle; they are written in a few
-    files for each core of the cluster, not in one for each shuffle partition.
+    slim: rows of a few numbers, fewer than their producers read; they are
+    dealt out anew to a few files for each core of the cluster, so that neither
+    many small files are written nor the producers' tasks made larger.
     """
     shared_dir(df.sparkSession)
     if slim:
-        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+        df = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
 
 
