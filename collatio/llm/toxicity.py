@@ -180,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, id
     """Model of at most max_rows labelled rows that are not held out.
 
     Rows with null ids or labels are not learned from; an id labelled several
-    times counts once, as toxic if any label is 1.
+    times counts once, as toxic if any label is 1; of documents with one id
+    the smallest text is learned from.
     """
     known = (
         labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y"))
@@ -191,9 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, id
     )
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    # max_rows ids at most
-    rows = texts.join(F.broadcast(sample), "id").select("id", "text", "y").collect()
-    return fit([(r.text, int(r.y > 0)) for r in sorted(rows, key=lambda r: (r.id, r.text or ""))[: 2 * max_rows]])
+    # max_rows ids at most, and a row for each
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()
+    return fit([(r.text, int(r.y > 0)) for r in sorted(rows, key=lambda r: r.id)])
 
 
 _TABLES: dict[int, dict[str, tuple[float, int]]] = {}
