@@ -34,6 +34,8 @@ TOKENS = CLASSES * WITHIN
 SHARED = 128
 WINDOW, DIM = 2, 16
 RATE, BATCH, SEED = 0.01, 8192, 11
+#: Tokens scored at once.
+SCORE_BATCH = 32768
 #: Distinct words that a counting task holds.
 COUNTER_WORDS = 300_000
 #: Bytes of text taken at once.
@@ -146,7 +148,7 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _by_class(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    classes = targets // WITHIN
+    classes = (targets // WITHIN).astype(np.uint8)  # small integers sort by radix
     order = np.argsort(classes, kind="stable")
     bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
@@ -161,8 +163,8 @@ def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
     as many, so no window reaches into another text.
     """
     out = np.zeros(len(ids), dtype=np.float64)
-    for a in range(0, len(ids) - 2 * WINDOW, BATCH):
-        part = ids[a : a + BATCH + 2 * WINDOW]
+    for a in range(0, len(ids) - 2 * WINDOW, SCORE_BATCH):
+        part = ids[a : a + SCORE_BATCH + 2 * WINDOW]
         n = len(part) - 2 * WINDOW
         middle = part[WINDOW : WINDOW + n]
         real = np.flatnonzero(middle < TOKENS)
@@ -198,7 +200,7 @@ def _gradients(w: dict[str, np.ndarray], part: np.ndarray) -> tuple[dict[str, np
     inner[real] = back * (1 - h * h)
     g["hidden"] = inner.sum(axis=0)
     # one order of the tokens serves every place of the window
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16), kind="stable")
     held = part[order]
     starts = np.flatnonzero(np.r_[True, np.diff(held) != 0])
     wide = np.zeros((n + 4 * WINDOW, DIM), dtype=np.float32)
