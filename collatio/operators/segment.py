@@ -33,15 +33,28 @@ def skipped_pieces(rows: DataFrame, text: str, profile: TextProfile = HAN_CORPUS
     return rows.agg(F.coalesce(F.sum(F.size(F.filter(pieces, lambda p: T.plain(p, profile) == ""))), F.lit(0)).alias("skipped"))
 
 
+def _materialised(df: DataFrame) -> DataFrame:
+    """df written to the folder that the session shares, a local one if it names none."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    return df.checkpoint(eager=True)
+
+
 def number_globally(rows: DataFrame, group: list[str], within: list[str], name: str = "seq") -> DataFrame:
     """Adds a gapless number from 1 in the order (group, within).
 
-    Only a count for each group is brought into one order; rows are numbered
-    inside their group.
+    A count for each group is put in order by a range partitioning, which is
+    written once so that all sums are over the same partitions; only a total
+    for each partition is brought together.  Rows are numbered in their group.
     """
     counts = rows.groupBy(*group).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*[F.col(g).alias(f"_{g}") for g in group], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    placed = _materialised(counts.repartitionByRange(*group).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(F.sum("_n").alias("_all")).select("_part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_lead"))
+    inside = Window.partitionBy("_part").orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.select("*", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_upto"))
+    bases = local.join(F.broadcast(totals), "_part").select(*[F.col(g).alias(f"_{g}") for g in group], (F.col("_lead") + F.col("_upto")).alias("_base"))
     numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(*within)))
     on = None
     for g in group:
