@@ -16,26 +16,36 @@ Files and manifest go to the folder given, which executors and driver share.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatio.llm.common import open_fs
+from collatio.llm.common import narrow, open_fs
 
 FRAME_IDS = 1 << 17
-LEVEL = 3
-#: Entries of one generation of the word table, of which two are kept.
-TABLE_ENTRIES = 250_000
-#: Longer words are encoded without being kept.
-KEEP_CHARS = 64
+LEVEL = 1
+#: Marks and odd words whose ids an encoder keeps.
+TABLE_ENTRIES = 50_000
+#: A word of Latin letters, then marks that no contraction begins with.
+_CORE_AND_MARKS = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!\x22#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)$"
+#: Cores that the library gets in one text.
+_TOGETHER = 1000
+#: Bytes of text whose words are made distinct together.
+SLICE_BYTES = 16 << 20
+#: Ids that a task reads back, in whole files.
+READ_IDS = 8 << 20
+
+MANIFEST = "part int, file string, n_docs long, n_ids long"
 
 # Fixed values of the public zstd seekable format.
 _SKIPPABLE = 0x184D2A5E
@@ -44,52 +54,115 @@ _INDEX_FRAME = 0x184D2A5B
 _HAS_CHECKSUM = 0x80
 
 
-class WordTable(dict):
-    """White-space-free word -> ids as bytes, each segmented once by the library.
+def _ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of every pair, one behind the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = np.repeat(starts - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return flat.take(at)
+
+
+class Encoder:
+    """Encodes a column of texts, each distinct word once by the library.
 
     Pre-tokens of the tokenizer never hold white space, so words between
-    blanks and line ends are independent.  A comma or full stop behind a Latin
-    letter is a pre-token of its own.  Bounded as in two generations.
+    blanks and line ends are independent.  Distinct words are split in Arrow
+    into letters and a run of marks behind them, which are pre-tokens of their
+    own; a pre-token's last id stands for a piece that ends a word, so the
+    library gets many distinct cores in one text and its ids are cut behind
+    such pieces.  Words of any other form go to the library alone.  Ids are
+    then joined by position.  Nothing is kept between slices but the ids of
+    marks and odd words, TABLE_ENTRIES at most.
     """
 
     def __init__(self, tokenizer, entries: int = TABLE_ENTRIES):
-        super().__init__({"": b""})
-        self._tok, self._entries, self._old = tokenizer, entries, {}
+        from tokenizers import Tokenizer
 
-    def _segment(self, word: str) -> bytes:
-        return np.asarray(self._tok.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self._tok, self._entries, self._alone = tokenizer, entries, {}
+        # for cores, which are in normal form as they stand
+        self._plain = Tokenizer(tokenizer.model)
+        self._plain.pre_tokenizer = tokenizer.pre_tokenizer
+        pieces = tokenizer.get_vocab(with_added_tokens=True)
+        self._ends = np.zeros(max(pieces.values()) + 1, dtype=bool)
+        self._ends[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
 
-    def __missing__(self, word: str) -> bytes:
-        found = self._old.get(word)
+    def alone(self, word: str) -> list[int]:
+        found = self._alone.get(word)
         if found is None:
-            if len(word) > 1 and word[-1] in ",." and word[-2].isalpha() and word[-2] < "ɐ":
-                found = self[word[:-1]] + self[word[-1]]
-            else:
-                found = self._segment(word)
-        if len(word) <= KEEP_CHARS:
-            if len(self) >= self._entries:
-                self._old = dict(self)
-                self.clear()
-                self[""] = b""
-            self[word] = found
+            found = self._tok.encode(word, add_special_tokens=False).ids
+            if len(self._alone) >= self._entries:
+                self._alone.clear()
+            if len(word) <= 64:
+                self._alone[word] = found
         return found
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-
-
-_TABLES: dict[str, WordTable] = {}
-
-
-def word_table(tokenizer_file: str) -> WordTable:
-    if tokenizer_file not in _TABLES:
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.alone(word) for word in words]
+        return np.array([i for ids in found for i in ids], dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+
+    def _cores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of words of plain lower-case letters."""
+        flat, sizes = [], []
+        for a in range(0, len(words), _TOGETHER):
+            part = words[a : a + _TOGETHER]
+            encoded = self._plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            ids = np.asarray(encoded, dtype=np.uint32)
+            cuts = np.flatnonzero(self._ends.take(ids)) + 1
+            if len(cuts) == len(part):
+                flat.append(ids)
+                sizes.append(np.diff(cuts, prepend=0))
+            else:
+                ids, n = self._each(part)
+                flat.append(ids)
+                sizes.append(n)
+        return (np.concatenate(flat), np.concatenate(sizes)) if flat else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of distinct words."""
+        split = pc.extract_regex(words, pattern=_CORE_AND_MARKS)
+        simple = pc.is_valid(split).to_numpy(zero_copy_only=False)
+        kept = split.filter(pa.array(simple))
+        cores = pc.utf8_lower(pc.struct_field(kept, 0)).dictionary_encode()
+        marks = pc.struct_field(kept, 1).dictionary_encode()
+        core_ids, core_n = self._cores(cores.dictionary.to_pylist())
+        mark_ids, mark_n = self._each(marks.dictionary.to_pylist())
+        odd_ids, odd_n = self._each(words.filter(pa.array(~simple)).to_pylist())
+        flat = np.concatenate([core_ids, mark_ids, odd_ids])
+        # two stretches for each word: letters and marks, or the odd word and nothing
+        starts, sizes = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        c, m = cores.indices.to_numpy(), marks.indices.to_numpy()
+        starts[simple, 0], sizes[simple, 0] = (np.cumsum(core_n) - core_n).take(c), core_n.take(c)
+        starts[simple, 1], sizes[simple, 1] = (np.cumsum(mark_n) - mark_n + len(core_ids)).take(m), mark_n.take(m)
+        starts[~simple, 0], sizes[~simple, 0] = np.cumsum(odd_n) - odd_n + len(core_ids) + len(mark_ids), odd_n
+        return _ragged(flat, starts.reshape(-1), sizes.reshape(-1)), sizes.sum(axis=1)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end of each text's ids); null counts as empty."""
+        blanks = pc.replace_substring(pc.fill_null(texts, ""), pattern="\n", replacement=" ")
+        lists = pc.split_pattern(blanks, pattern=" ")
+        words = lists.flatten().dictionary_encode()
+        ids, n = self._distinct(words.dictionary)
+        place = words.indices.to_numpy()
+        each = n.take(place)
+        ends = np.concatenate([[0], np.cumsum(each)])
+        bounds = lists.offsets.to_numpy()
+        return _ragged(ids, (np.cumsum(n) - n).take(place), each), ends[bounds[1:]]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, ends[:-1])] if len(texts) else []
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_file: str) -> Encoder:
+    if tokenizer_file not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        _TABLES[tokenizer_file] = WordTable(tokenizer)
-    return _TABLES[tokenizer_file]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _ENCODERS[tokenizer_file] = Encoder(Tokenizer.from_file(tokenizer_file))
+    return _ENCODERS[tokenizer_file]
 
 
 class Writer:
@@ -208,16 +281,20 @@ def write(df: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, id_col
         part, attempt = context.partitionId(), context.taskAttemptId()
         name = f"part-{part:06d}-{attempt}.ids.zst"
         fs, root = open_fs(path)
-        words = word_table(tokenizer_file)
+        words = encoder(tokenizer_file)
         writer = sink = None
         docs = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for part_of in narrow(batch, SLICE_BYTES):
                 if writer is None:
                     sink = fs.open_output_stream(f"{root}/{name}", compression=None)
                     writer = Writer(sink)
-                writer.add(doc_id, words.encode(text.as_py()) + end)
-                docs += 1
+                ids, ends = words.encode_column(part_of.column(1))
+                raw, start = ids.astype("<u4", copy=False).tobytes(), 0
+                for doc_id, stop in zip(part_of.column(0).to_pylist(), (4 * ends).tolist()):
+                    writer.add(doc_id, raw[start:stop] + end)
+                    start = stop
+                docs += part_of.num_rows
         if writer is not None:
             writer.close()
             sink.close()
@@ -226,26 +303,27 @@ def write(df: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, id_col
     slim = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     tie = F.xxhash64("text")
     ordered = slim.repartitionByRange("id", tie).sortWithinPartitions("id", tie, "text")
-    manifest = ordered.mapInArrow(run, "part int, file string, n_docs long, n_ids long")
-    manifest.write.parquet(f"{path}/manifest")
+    # one row for each partition
+    rows = ordered.mapInArrow(run, MANIFEST).collect()
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
     return read_manifest(spark, path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("part int, file string, n_docs long, n_ids long").parquet(f"{path}/manifest").orderBy("part")
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy("part")
 
 
-def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """Name and global start of every file: one entry for each file, never for each row."""
+def _files(spark: SparkSession, path: str) -> tuple[list[tuple[str, int]], int]:
+    """Name and global start of every file, and the number of all ids."""
     out, start = [], 0
     for row in read_manifest(spark, path).collect():
         out.append((row.file, start))
         start += row.n_ids
-    return out
+    return out, start
 
 
 def _scan(spark: SparkSession, path: str, each, schema: str) -> DataFrame:
-    files = _files(spark, path)
+    files, total = _files(spark, path)
     if not files:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(files)
@@ -258,7 +336,8 @@ def _scan(spark: SparkSession, path: str, each, schema: str) -> DataFrame:
                 with fs.open_input_file(f"{root}/{name}") as source:
                     yield from each(Reader(source), start)
 
-    return spark.range(0, len(files), 1, len(files)).mapInArrow(run, schema)
+    tasks = min(len(files), total // READ_IDS + 1)
+    return spark.range(0, len(files), 1, tasks).mapInArrow(run, schema)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

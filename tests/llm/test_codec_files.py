@@ -55,7 +55,7 @@ def library():
 
 @pytest.mark.parametrize("entries", [3, 60_000])
 def test_words_equal_library(entries):
-    tok, table = library(), W.WordTable(library(), entries)
+    tok, table = library(), W.Encoder(library(), entries)
     texts = some_texts()
     for _ in range(2):
         for t, ids in zip(texts, table.encode_all(texts)):
