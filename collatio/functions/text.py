@@ -150,15 +150,29 @@ def apply_predictions(text: Column, predictions: Column, marks: Column) -> Colum
 
     predictions: array<struct<end int, entity string>>; marks: map from entity
     to mark.  The mark follows the character that ends at `end`; a later
-    prediction for the same place wins; entities not in the map leave none.
+    prediction for the same place wins; entities not in the map leave none, and
+    places outside the text count for nothing.
     """
 
-    def at(c, i):
-        own = F.filter(predictions, lambda p: p["end"] - 1 == i)
-        mark = F.when(F.size(own) > 0, F.try_element_at(marks, F.element_at(own, -1)["entity"]))
-        return F.concat(c, F.coalesce(mark, F.lit("")))
+    placed = F.filter(predictions, lambda p: p["end"].between(1, F.length(text)))
+    ordered = F.array_sort(F.transform(placed, lambda p, i: F.struct(p["end"].cast("int").alias("end"), i.alias("i"), p["entity"].alias("entity"))))
+    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("done"), F.lit(0).alias("end"), F.lit("").alias("mark"))
+
+    def written(s, stop):
+        """What is put out when the place held is left for good."""
+        return F.concat(s["out"], F.substring(text, s["done"] + 1, stop - s["done"]), s["mark"])
+
+    def step(s, p):
+        mark = F.coalesce(F.try_element_at(marks, p["entity"]), F.lit(""))
+        same = p["end"] == s["end"]
+        return F.struct(
+            F.when(same, s["out"]).otherwise(written(s, s["end"])).alias("out"),
+            F.when(same, s["done"]).otherwise(s["end"]).alias("done"),
+            p["end"].alias("end"),
+            mark.alias("mark"),
+        )
 
-    return F.array_join(F.transform(chars(text), at), "")
+    return F.aggregate(ordered, state, step, lambda s: F.concat(written(s, s["end"]), F.substring(text, s["end"] + 1, F.length(text))))
 
 
 # The thirty years of the sexagenary cycle from 1554 on.

@@ -33,7 +33,8 @@ def opcodes(autojunk: bool):
 
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=object)
 
-    return align
+    # never twice: filters that the optimizer infers would call it again
+    return align.asNondeterministic()
 
 
 def word_opcodes(autojunk: bool):
@@ -48,7 +49,8 @@ def word_opcodes(autojunk: bool):
 
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=object)
 
-    return align
+    # never twice: filters that the optimizer infers would call it again
+    return align.asNondeterministic()
 
 
 def _total(ops: Column, weight) -> Column:

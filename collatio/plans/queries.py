@@ -179,7 +179,8 @@ def page_text(spark, sf_dir):
 
 def _pairs(spark, sf_dir) -> DataFrame:
     """Every document with itself without marks on one side, as witnesses by words."""
-    docs = _table(spark, sf_dir, "documents")
+    # the matcher costs far more than moving its texts: every core gets some
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     return docs.select("doc_id", F.col("text").alias("b"), F.regexp_replace(F.regexp_replace("text", r"\b([Tt])he\b", "$1he"), r"\bof\b", "off").alias("a"))
 
 
