@@ -110,11 +110,18 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
         if label:
             in_toxic.update({s for w in set(words_of(text)) for s in subwords(w)})
     known = {s for s, k in in_toxic.items() if k >= MIN_TOXIC}
+    held: dict[str, tuple[str, ...]] = {}  # each word's subwords that are known
+
+    def known_in(word: str) -> tuple[str, ...]:
+        if word not in held:
+            held[word] = tuple(s for s in subwords(word) if s in known)
+        return held[word]
+
     in_other: Counter[str] = Counter()
     for text, label in rows:
         if not label:
             for w in set(words_of(text)):
-                in_other.update(known.intersection(subwords(w)))
+                in_other.update(set(known_in(w)))
     kept = []
     for s in sorted(known):
         a, c = in_toxic[s] + 0.5, min(in_other[s], n0) + 0.5
@@ -128,7 +135,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     # bags as (row, subword, share); rows with an empty bag only move the bias
     row_of, column, share, label_of = [], [], [], []
     for text, label in rows:
-        bag = Counter(s for w in words_of(text) for s in subwords(w) if s in at)
+        bag = Counter(s for w in words_of(text) for s in known_in(w) if s in at)
         total = sum(bag.values())
         for s, k in bag.items():
             row_of.append(len(label_of))
