@@ -70,6 +70,14 @@ def narrow(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
+def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of every pair, one behind the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = np.repeat(starts - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return flat.take(at)
+
+
 def null_safe(left: DataFrame, right: DataFrame, names: list[str]):
     on = None
     for name in names:

@@ -7,31 +7,33 @@ is segmented once by the library and kept, with its ids as bytes; a text's ids
 are the chunks' bytes joined by position.  `crossing_pieces` tells whether a
 model has the property; `encode` refuses one that lacks it.
 
-The table lives in the Python worker, across its batches and tasks.  It is
-bounded: when the newer of two generations is full, the older one is dropped,
-and a chunk met again is segmented again.  A table shared by the whole cluster
-would need every occurrence of every chunk to be shuffled twice (several times
-the input); a table for each worker needs no shuffle at all.
+The table is that of a slice of a batch (SLICE_BYTES), found in Arrow.  A table
+shared by the whole cluster would need every occurrence of every chunk to be
+shuffled twice (several times the input); a table for each slice needs no
+shuffle, and is bounded by the slice.  Texts with runs of blanks are cut into
+chunks one by one, with a bounded table that the Python worker keeps.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatio.llm.common import narrow
+from collatio.llm.common import narrow, ragged
 
 #: Entries of one generation of the chunk table, of which two are kept.
-TABLE_ENTRIES = 120_000
+TABLE_ENTRIES = 50_000
 #: Longer chunks are segmented without being kept.
 KEEP_CHARS = 64
-#: Characters of text handled at once: bounds what a worker holds besides a text.
-SLICE_CHARS = 4_000_000
+#: Bytes of text handled at once: bounds what a worker holds besides a text.
+SLICE_BYTES = 8 << 20
 
 _MARK = "▁"
 _CHUNKS = re.compile(f"{_MARK}*[^{_MARK}]+|{_MARK}+")
@@ -97,6 +99,29 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         return self.begin + self.body(text or "") + self.end
 
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """encode() of every text; each distinct chunk of the column is segmented once.
+
+        Where blanks stand alone between other characters, chunks are what
+        lies between them, and Arrow finds the distinct ones; other texts are
+        cut by `body`.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, _MARK))
+        odd = pc.or_(odd, pc.or_(pc.starts_with(texts, " "), pc.or_(pc.ends_with(texts, " "), pc.equal(texts, ""))))
+        lists = pc.split_pattern(texts.filter(pc.invert(odd)), pattern=" ")
+        chunks = lists.flatten().dictionary_encode()
+        found = self.sp.encode(chunks.dictionary.to_pylist(), num_threads=1)
+        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(n.sum()))
+        place = chunks.indices.to_numpy()
+        sizes = n.take(place)
+        raw = ragged(flat, (np.cumsum(n) - n).take(place), sizes).tobytes()
+        ends = 4 * np.concatenate([[0], np.cumsum(sizes)])[lists.offsets.to_numpy()]
+        plain = (self.begin + raw[a:b] + self.end for a, b in zip(ends.tolist(), ends[1:].tolist()))
+        others = map(self.encode, texts.filter(odd).to_pylist())
+        return [next(others) if x else next(plain) for x in odd.to_pylist()]
+
     def decode(self, ids: bytes) -> str:
         return self.sp.decode(np.frombuffer(ids, dtype="<u4").tolist())
 
@@ -121,8 +146,8 @@ def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         c = codec(model_file, entries)
         for batch in batches:
-            for part in narrow(batch, SLICE_CHARS):
-                ids = [np.frombuffer(c.encode(t), dtype="<i4") for t in part.column(1).to_pylist()]
+            for part in narrow(batch, SLICE_BYTES):
+                ids = [np.frombuffer(x, dtype="<i4") for x in c.encode_column(part.column(1))]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
@@ -159,10 +184,9 @@ def round_trip_digest(df: DataFrame, model_file: str, id_col: str = "doc_id", te
     def run(batches):
         c = codec(model_file, entries)
         for batch in batches:
-            for part in narrow(batch, SLICE_CHARS):
+            for part in narrow(batch, SLICE_BYTES):
                 rows = []
-                for text in part.column(1).to_pylist():
-                    ids = c.encode(text)
+                for ids in c.encode_column(part.column(1)):
                     back = c.decode(ids).encode("utf-8")
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
                 n, a, b = zip(*rows)

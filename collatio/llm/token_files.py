@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatio.llm.common import narrow, open_fs
+from collatio.llm.common import narrow, open_fs, ragged
 
 FRAME_IDS = 1 << 17
 LEVEL = 1
@@ -54,14 +54,6 @@ _INDEX_FRAME = 0x184D2A5B
 _HAS_CHECKSUM = 0x80
 
 
-def _ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """flat[start : start + size] of every pair, one behind the other."""
-    ends = np.cumsum(sizes, dtype=np.int64)
-    at = np.repeat(starts - (ends - sizes), sizes)
-    at += np.arange(len(at))
-    return flat.take(at)
-
-
 class Encoder:
     """Encodes a column of texts, each distinct word once by the library.
 
@@ -134,7 +126,7 @@ class Encoder:
         starts[simple, 0], sizes[simple, 0] = (np.cumsum(core_n) - core_n).take(c), core_n.take(c)
         starts[simple, 1], sizes[simple, 1] = (np.cumsum(mark_n) - mark_n + len(core_ids)).take(m), mark_n.take(m)
         starts[~simple, 0], sizes[~simple, 0] = np.cumsum(odd_n) - odd_n + len(core_ids) + len(mark_ids), odd_n
-        return _ragged(flat, starts.reshape(-1), sizes.reshape(-1)), sizes.sum(axis=1)
+        return ragged(flat, starts.reshape(-1), sizes.reshape(-1)), sizes.sum(axis=1)
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text's ids); null counts as empty."""
@@ -146,7 +138,7 @@ class Encoder:
         each = n.take(place)
         ends = np.concatenate([[0], np.cumsum(each)])
         bounds = lists.offsets.to_numpy()
-        return _ragged(ids, (np.cumsum(n) - n).take(place), each), ends[bounds[1:]]
+        return ragged(ids, (np.cumsum(n) - n).take(place), each), ends[bounds[1:]]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         ids, ends = self.encode_column(pa.array(texts, pa.string()))
