@@ -114,6 +114,8 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
 
     def known_in(word: str) -> tuple[str, ...]:
         if word not in held:
+            if len(held) >= 100_000:
+                held.clear()
             held[word] = tuple(s for s in subwords(word) if s in known)
         return held[word]
 
