@@ -31,6 +31,10 @@ CHUNK_SHINGLES = 1 << 18
 TILE = 512
 #: A signature with more fingerprints is split into tiles of about this size.
 SPLIT = 65536
+#: The same where the shingle sets travel along.
+SPLIT_SETS = 2048
+#: Bytes of shingle sets of visitors that a task holds before they are compared.
+HELD_SETS = 1 << 25
 SEED = 42
 
 
@@ -57,6 +61,20 @@ def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[s:e], SEED) for s, e in pairs], dtype=np.uint64)
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, sorted."""
+    found = list(shingle_hashes(words_of(text), width))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingle_set(), not both empty."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # two runs: a merge
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared / (len(both) - shared)
+
+
 def _widen(hashes: np.ndarray, lanes: int) -> np.ndarray:
     """(n, lanes) words of each hash: itself, then mixes of it (splitmix64)."""
     out = np.empty((len(hashes), lanes), dtype=np.uint64)
@@ -81,28 +99,32 @@ def fingerprint(pieces: Iterator[np.ndarray], lanes: int = 1) -> tuple[np.ndarra
 
 
 def fingerprints(docs: DataFrame, width: int, lanes: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sha, fp array<long>, n_shingles) for every row.
+    """(id, sha, fp array<long>, n_shingles, same) for every row.
 
     Texts of fewer words than the shingle width give one shingle of the whole
     sequence; null, empty and blank texts give none and a fingerprint of
-    zeros.  distinct: every shingle counts once.
+    zeros.  distinct: every shingle counts once, and same is a hash of the set
+    of shingles (otherwise 0).
     """
 
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, same = [], []
             for text in batch.column(2):
-                pieces = shingle_hashes(words_of(text.as_py()), width)
                 if distinct:
-                    found = [p for p in pieces]
-                    pieces = iter([np.unique(np.concatenate(found))] if found else [])
+                    found = shingle_set(text.as_py(), width)
+                    pieces = iter([found] if len(found) else [])
+                    same.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                else:
+                    pieces = shingle_hashes(words_of(text.as_py()), width)
+                    same.append(0)
                 rows.append(fingerprint(pieces, lanes))
             fps = pa.array([fp.view(np.int64) for fp, _ in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array([n for _, n in rows], pa.int64())], names=["id", "sha", "fp", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array([n for _, n in rows], pa.int64()), pa.array(np.array(same, dtype=np.uint64).view(np.int64))], names=["id", "sha", "fp", "n_shingles", "same"])
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.sha2(text, 256).alias("sha"), text.alias("text"))
-    return slim.mapInArrow(run, "id long, sha string, fp array<long>, n_shingles long")
+    return slim.mapInArrow(run, "id long, sha string, fp array<long>, n_shingles long, same long")
 
 
 def popcounts(fps: np.ndarray, parts: int) -> np.ndarray:
@@ -190,7 +212,7 @@ def _cells_by_counts(classes: DataFrame, parts: int, radius: int) -> tuple[DataF
     return classes.withColumn("cell", cell.cast("int")), steps
 
 
-def links(celled: DataFrame, steps: list[int], lanes: int, radius: int, least_ratio: float | None = None, split: int = SPLIT) -> DataFrame:
+def links(celled: DataFrame, steps: list[int], lanes: int, radius: int, least_ratio: float | None = None, split: int = SPLIT, *, confirm: float | None = None) -> DataFrame:
     """(a, b): ids of linked classes, enough to connect all that link.
 
     celled: (rep long, fp, size, cell int), one row per class; classes link
@@ -198,63 +220,103 @@ def links(celled: DataFrame, steps: list[int], lanes: int, radius: int, least_ra
     own cell and guest in those a step away.  The number of cells is bounded by
     the signature, so their counts are broadcast; a crowded cell's hosts are
     dealt into blocks, and every block meets every block and all guests.
+    confirm: classes close by fingerprint link only if the Jaccard similarity
+    of their sets (another column, grams binary) is at least this; it is worked
+    out only for those not yet joined by links that held.
     """
+    whole = ["rep", "fp", "size"] + (["grams"] if confirm is not None else [])
     counts = F.broadcast(celled.groupBy("cell").agg(F.ceil(F.count("*") / split).cast("int").alias("blocks")))
     block = F.pmod(F.hash("rep"), F.col("blocks"))
-    hosts = celled.join(counts, "cell").select("rep", "fp", "size", "cell", block.alias("at"), "blocks")
+    hosts = celled.join(counts, "cell").select(*whole, "cell", block.alias("at"), "blocks")
     # a host of block k leads its own block and visits those before it
-    own = hosts.select("rep", "fp", "size", "cell", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("block"), (F.col("at")).alias("own"), "blocks")
-    own = own.select("rep", "fp", "size", "cell", "block", F.when(F.col("block") == F.col("own"), F.lit(0)).otherwise(F.lit(1)).alias("role"))
+    own = hosts.select(*whole, "cell", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("block"), (F.col("at")).alias("own"), "blocks")
+    own = own.select(*whole, "cell", "block", F.when(F.col("block") == F.col("own"), F.lit(0)).otherwise(F.lit(1)).alias("role"))
     parts = own
     if steps:
-        moved = celled.select("rep", "fp", "size", F.explode(F.array(*[F.col("cell") + s for s in steps])).alias("cell"))
-        guests = moved.join(counts, "cell").select("rep", "fp", "size", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"))
+        moved = celled.select(*whole, F.explode(F.array(*[F.col("cell") + s for s in steps])).alias("cell"))
+        guests = moved.join(counts, "cell").select(*whole, "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"))
         parts = own.unionByName(guests)
 
     def meet(batches):
         """Rows arrive sorted by (cell, block, role): the hosts, then the visitors."""
 
-        def flush(hosts, visitors):
-            if not len(hosts[0]):
-                return
-            rep_h, fp_h, n_h = hosts
-            forest = Forest(len(rep_h) + len(visitors[0]))
-            edges = []
-            for i, j in close_pairs(fp_h, None, radius, least_ratio and (n_h, n_h, least_ratio)):
-                for x, y in zip(i.tolist(), j.tolist()):
-                    if forest.join(x, y):
-                        edges.append((rep_h[x], rep_h[y]))
-            rep_v, fp_v, n_v = visitors
-            if len(rep_v):
-                n = len(rep_h)
-                for i, j in close_pairs(fp_h, fp_v, radius, least_ratio and (n_h, n_v, least_ratio)):
-                    for x, y in zip(i.tolist(), j.tolist()):
-                        if forest.join(x, n + y):
-                            edges.append((rep_h[x], rep_v[y]))
-            if edges:
-                a, b = zip(*edges)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        class Block:
+            """Hosts, linked once; visitors come in parts and are let go."""
+
+            def __init__(self, hosts):
+                self.hosts, self.forest, self.edges = hosts, Forest(len(hosts[0])), []
+                self.rep, self.sets = hosts[0], self._sets(hosts)
+                for i, j in close_pairs(hosts[1], None, radius, least_ratio and (hosts[2], hosts[2], least_ratio)):
+                    self._link(i, j)
+
+            def _sets(self, rows):
+                return [np.frombuffer(g, dtype=np.uint64) for g in rows[3]] if confirm is not None else []
+
+            def visit(self, rows):
+                own, sets, n = self.hosts, self.sets, len(self.hosts[0])
+                self.rep, self.sets = np.concatenate([own[0], rows[0]]), sets + self._sets(rows)
+                self.forest.up += range(n, n + len(rows[0]))
+                for i, j in close_pairs(own[1], rows[1], radius, least_ratio and (own[2], rows[2], least_ratio)):
+                    self._link(i, n + j)
+                # the smaller place leads: no host's way up leads through a visitor
+                del self.forest.up[n:]
+                self.rep, self.sets = own[0], sets
+
+            def _link(self, i, j):
+                places, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                root = np.fromiter(map(self.forest.find, places.tolist()), dtype=np.int64, count=len(places))[at]
+                apart = root[: len(i)] != root[len(i) :]
+                for x, y in zip(i[apart].tolist(), j[apart].tolist()):
+                    if confirm is not None and (self.forest.find(x) == self.forest.find(y) or jaccard(self.sets[x], self.sets[y]) < confirm):
+                        continue
+                    if self.forest.join(x, y):
+                        self.edges.append((self.rep[x], self.rep[y]))
+
+            def found(self):
+                if self.edges:
+                    a, b = zip(*self.edges)
+                    self.edges = []
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         def columns(rows):
             if not rows:
-                return np.zeros(0, np.int64), np.zeros((0, lanes), np.uint64), np.zeros(0, np.int64)
+                return np.zeros(0, np.int64), np.zeros((0, lanes), np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
             return tuple(np.concatenate(c) for c in zip(*rows))
 
-        key, held = None, ([], [])
+        key, block_now, held, weight = None, None, [], 0
+
+        def settle():
+            """Compares what is held: hosts if the block has none yet, then visitors."""
+            nonlocal block_now, held, weight
+            if held and block_now is None:
+                block_now = Block(columns(held))
+            elif held:
+                block_now.visit(columns(held))
+            held, weight = [], 0
+            if block_now is not None:
+                yield from block_now.found()
+
+        was = None
         for batch in batches:
-            rep, size, cell, block, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4, 5))
+            rep, size, cell, block, role = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "size", "cell", "block", "role"))
+            grams = batch.column("grams").to_numpy(zero_copy_only=False) if confirm is not None else rep
             fp = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
             if not len(rep):
                 continue
             cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(role) != 0)) + 1
             for s, e in zip([0, *cuts], [*cuts, len(rep)]):
-                if (cell[s], block[s]) != key:
-                    if key is not None:
-                        yield from flush(columns(held[0]), columns(held[1]))
-                    key, held = (cell[s], block[s]), ([], [])
-                held[int(role[s])].append((rep[s:e], fp[s:e], size[s:e]))
-        if key is not None:
-            yield from flush(columns(held[0]), columns(held[1]))
+                if (cell[s], block[s], role[s]) != was:
+                    yield from settle()
+                    was = (cell[s], block[s], role[s])
+                    if was[:2] != key:
+                        key, block_now = was[:2], None
+                if role[s] == 1 and block_now is None:
+                    continue  # a block without hosts
+                held.append((rep[s:e], fp[s:e], size[s:e], grams[s:e]))
+                weight += 8 * int(size[s:e].sum()) if confirm is not None else 0
+                if role[s] == 1 and weight > HELD_SETS:
+                    yield from settle()
+        yield from settle()
 
     dealt = parts.repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
     return dealt.mapInArrow(meet, "a long, b long")
@@ -286,35 +348,59 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, parts: int
 
 #: Near copies: at least this Jaccard similarity of the sets of shingles of
 NEAR, NEAR_WIDTH = 0.8, 5
-#: words, as fingerprints of 256 bits show it: sets that similar are expected
+#: words; candidates by fingerprints of 256 bits: sets that similar are expected
 #: to differ in 39 bits (standard deviation 6), unrelated ones in 128 (8).
 NEAR_LANES, NEAR_RADIUS = 4, 52
+#: Candidates: five deviations more than expected, four for sets of 4 and 5.
+NEAR_REACH = 72
 
 
-def near_groups(docs: DataFrame, width: int = NEAR_WIDTH, lanes: int = NEAR_LANES, radius: int = NEAR_RADIUS, least_ratio: float = NEAR, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Near copies by wide fingerprints of shingle sets: (classes, members).
+def near_groups(docs: DataFrame, width: int = NEAR_WIDTH, lanes: int = NEAR_LANES, radius: int = NEAR_REACH, least_ratio: float = NEAR, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Near copies by exact similarity of shingle sets: (classes, members).
 
-    Two texts link if their fingerprints differ in at most radius bits and
-    their numbers of distinct shingles have a quotient of at least least_ratio
-    (which the similarity implies).  A cell is a step of that quotient, so
-    only cells next to each other meet; within them every pair is compared.
+    A class is a set of shingles.  Two classes are candidates if their wide
+    fingerprints differ in at most radius bits and their sizes have a quotient
+    of at least least_ratio (which the similarity implies); they link if the
+    Jaccard similarity of the sets is at least least_ratio.  A cell is a step
+    of that quotient, so only cells next to each other meet; within them every
+    pair is compared.  Sets are made, from the texts, only of classes that have
+    a candidate, and compared where the fingerprints are compared again.
     classes: (rep, root, best), best being the row of the class with the
     smallest id, then text hash; members: (id, sha, rep), with copies.
     Null, empty and blank texts are one class; null ids come last.
     """
     prints = fingerprints(docs, width, lanes, True, id_col, text_col)
-    members = cut(prints.groupBy("id", "sha", "fp", "n_shingles").agg(F.count("*").alias("n")))
+    members = cut(prints.groupBy("id", "sha", "fp", "n_shingles", "same").agg(F.count("*").alias("n")))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha", "n")).alias("best")
-    classes = cut(members.groupBy("fp", "n_shingles").agg(best).withColumn("rep", F.monotonically_increasing_id()), slim=True)
+    classes = cut(members.groupBy("fp", "n_shingles", "same").agg(best).withColumn("rep", F.monotonically_increasing_id()), slim=True)
     step = math.log(1 / least_ratio) * (1 + 1e-6)
     cell = F.when(F.col("n_shingles") > 0, F.floor(F.log(F.col("n_shingles").cast("double")) / step)).otherwise(-2)
-    celled = classes.select("rep", "fp", F.col("n_shingles").alias("size"), cell.cast("int").alias("cell"))
-    edges = cut(links(celled, [1], lanes, radius, least_ratio), slim=True)
+    celled = classes.select("rep", "fp", F.col("n_shingles").alias("size"), cell.cast("int").alias("cell"), "best")
+    found = links(celled.drop("best"), [1], lanes, radius, least_ratio)
+    near = cut(found.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), slim=True)
+    close = cut(_with_sets(docs, celled.join(near, "rep", "left_semi"), width, id_col, text_col))
+    edges = cut(links(close, [1], lanes, radius, least_ratio, SPLIT_SETS, confirm=least_ratio), slim=True)
     roots = connected_components(edges)
     rooted = classes.join(roots, classes.rep == roots.node, "left")
     return rooted.select("rep", "fp", "n_shingles", F.coalesce("root", "rep").alias("root"), "best"), members
 
 
+def _with_sets(docs: DataFrame, classes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(rep, fp, size, cell) with the column grams, the shingle set of the row best."""
+
+    def run(batches):
+        for batch in batches:
+            grams = pa.array([shingle_set(t.as_py(), width).tobytes() for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "fp", "size", "cell")), grams], names=["rep", "fp", "size", "cell", "grams"])
+
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.sha2(text, 256).alias("_sha"), text.alias("text"))
+    named = texts.join(classes, (F.col("_sha") == F.col("best.sha")) & F.col("_id").eqNullSafe(F.col("best.id")))
+    # rows repeated in full bear one class
+    single = named.groupBy("rep").agg(F.first(F.struct("text", "fp", "size", "cell")).alias("row")).select("rep", "row.*")
+    return single.mapInArrow(run, "rep long, fp array<long>, size long, cell int, grams binary")
+
+
 def kept_keys(docs: DataFrame, **options) -> DataFrame:
     """(id, sha, n) of the row that stays of every group, for common.retain."""
     classes, _ = near_groups(docs, **options)

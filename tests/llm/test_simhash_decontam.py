@@ -89,6 +89,47 @@ def test_near_copies_stage(spark):
     assert kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("split", [S.SPLIT_SETS, 3])
+def test_near_copies_by_exact_similarity(spark, split, monkeypatch):
+    """Fingerprints of texts at 0.6 to 0.8 are close, but only 0.8 links."""
+    monkeypatch.setattr(S, "SPLIT_SETS", split)
+    monkeypatch.setattr(S, "HELD_SETS", split)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = ["", None, "one", "One", "one two"]
+    for g in range(25):
+        base = [word() for _ in range(rng.choice([8, 9, 60, 150, 300]))]
+        for k in range(6):
+            copy = list(base)
+            for at in range(2, len(base), 150):
+                for _ in range(k if len(base) > 9 else 1):
+                    copy[rng.randrange(at, min(at + 150, len(base)))] = word()
+            rows.append(" ".join(copy if k % 2 else copy[: len(base) - k // 2]))
+    sets = []
+    for t in rows:
+        words = (t or "").lower().split()
+        sets.append({" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    below = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            shared, every = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if not every or shared / every >= 0.8:
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+            below += 0.6 < shared / max(1, every) < 0.8
+    assert below > 30
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").union(spark.createDataFrame([(5, rows[5])], "doc_id long, text string"))
+    kept = sorted(r.doc_id for r in retain(docs, S.kept_keys(docs)).collect())
+    assert kept == [i for i in range(len(rows)) if find(i) == i]
+
+
 def edits(pattern, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(pattern, 1):
