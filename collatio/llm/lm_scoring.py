@@ -7,22 +7,30 @@ the class) gives the conditional probability.  A document's score is the sum
 of its tokens' conditional log-probabilities.
 
 Words are counted over all documents; the most frequent are tokens of their
-own, the others share hashed tokens, so every word has a probability.  The
+own, the others share hashed tokens.  The probability of a shared token is
+divided among its words: every word that occurs MIN_COUNT times has a share by
+its count, and what rarer words have together, with a reserve of one
+occurrence, is split evenly among them and one place for words never seen.  The
 network is trained in numpy on every document: each partition makes one pass
 with Adam from the same start (the unigram model), and the parameters are
 averaged by token counts.  The averaging gathers a model's size of numbers,
-summed before the shuffle; the counting gathers every distinct word.
+summed before the shuffle; the counting shuffles every distinct word and
+gathers those of MIN_COUNT, as hashes and shares in a model.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +40,8 @@ CLASSES, WITHIN = 32, 32
 TOKENS = CLASSES * WITHIN
 #: Tokens that stand for all words but the most frequent.
 SHARED = 128
+#: Words that occur so often have a share of their own in a shared token.
+MIN_COUNT = 20
 WINDOW, DIM = 2, 16
 RATE, BATCH, SEED = 0.01, 8192, 11
 #: Tokens scored at once.
@@ -63,18 +73,49 @@ class _Tokens(dict):
         return token
 
 
+class _Shares(dict):
+    """Word -> log of its share of its token, 0 for words that have their own."""
+
+    def __init__(self, known: dict[str, int], hashes: np.ndarray, logs: np.ndarray, rare: np.ndarray):
+        super().__init__(dict.fromkeys(known, 0.0))
+        self._known, self._logs, self._rare = known, logs, rare.tolist()
+        self._hashes = array("q", hashes.tobytes())
+
+    def __missing__(self, word: str) -> float:
+        key = word.encode("utf-8", "surrogatepass")
+        h = xxhash.xxh64_intdigest(key, 42)
+        h -= (h >> 63) << 64  # signed, as Spark's xxhash64
+        at = bisect_left(self._hashes, h)
+        found = float(self._logs[at]) if at < len(self._hashes) and self._hashes[at] == h else self._rare[zlib.crc32(key) % SHARED]
+        if len(self) >= COUNTER_WORDS:
+            self.clear()
+            self.update(dict.fromkeys(self._known, 0.0))
+        self[word] = found
+        return found
+
+
 class Vocabulary:
-    """The known words' tokens and the probability of every token."""
+    """The known words' tokens, the probability of every token, and the shares.
+
+    shares: (sorted hashes of words, logs of their shares, logs of the share of
+    any other word of each shared token).
+    """
 
-    def __init__(self, known: dict[str, int], unigram: np.ndarray):
-        self.known, self.unigram, self._table = known, unigram, None
+    def __init__(self, known: dict[str, int], unigram: np.ndarray, shares: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.known, self.unigram, self.shares = known, unigram, shares
+        self._table = self._logs = None
 
     def __getstate__(self):
-        return self.known, self.unigram
+        return self.known, self.unigram, self.shares
 
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def log_shares(self, words: list[str]) -> np.ndarray:
+        if self._logs is None:
+            self._logs = _Shares(self.known, *self.shares)
+        return np.fromiter(map(self._logs.__getitem__, words), dtype=np.float64, count=len(words))
+
     def tokens(self, words: list[str]) -> np.ndarray:
         if self._table is None:
             self._table = _Tokens(self.known)
@@ -86,7 +127,6 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
 
     def count(batches):
         seen: Counter[str] = Counter()
-        total = 0
 
         def flush():
             rows = pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
@@ -95,23 +135,61 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
 
         for batch in batches:
             for text in batch.column(0):
-                words = words_of(text.as_py())
-                total += len(words)
-                seen.update(words)
+                seen.update(words_of(text.as_py()))
                 if len(seen) > COUNTER_WORDS:
                     yield flush()
-        seen[""] = total  # no word is empty: the count of all tokens
         yield flush()
 
+    own = TOKENS - SHARED
+
+    def gather(batches):
+        """Words of MIN_COUNT, rarer ones that may be among the most frequent, and sums of the rest (word null)."""
+        sums, kinds, many, rest = np.zeros(SHARED, np.int64), np.zeros(SHARED, np.int64), 0, None
+
+        def ordered(rows, size):
+            return rows.take(pa.compute.sort_indices(rows, [("n", "descending"), ("word", "ascending")])[:size])
+
+        names = ["word", "n", "bucket", "hash"]
+        for batch in batches:
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=names)
+            frequent = pa.compute.greater_equal(batch.column("n"), MIN_COUNT)
+            large = batch.filter(frequent)
+            yield large
+            many += large.num_rows
+            small = batch.filter(pa.compute.invert(frequent))
+            bucket = small.column("bucket").to_numpy()
+            sums += np.bincount(bucket, small.column("n").to_numpy(), SHARED).astype(np.int64)
+            kinds += np.bincount(bucket, minlength=SHARED)
+            if many < own:
+                small = ordered(small, own)
+                rest = small if rest is None else ordered(pa.concat_batches([rest, small]), own)
+        if rest is not None and many < own:
+            # taken out of the sums: the driver puts back those it does not choose
+            sums -= np.bincount(rest.column("bucket").to_numpy(), rest.column("n").to_numpy(), SHARED).astype(np.int64)
+            kinds -= np.bincount(rest.column("bucket").to_numpy(), minlength=SHARED)
+            yield rest
+        columns = [pa.nulls(SHARED, pa.string()), pa.array(sums), pa.array(np.arange(SHARED, dtype=np.int32)), pa.array(kinds.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
     counts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # a vocabulary's size of rows
-    top = counts.orderBy(F.desc("n"), "word").limit(TOKENS - SHARED + 1).collect()
-    total = next((r.n for r in top if r.word == ""), 0)
-    words = [(r.word, r.n) for r in top if r.word != ""][: TOKENS - SHARED]
+    named = counts.select("word", "n", (F.crc32(F.encode("word", "utf-8")) % SHARED).cast("int").alias("bucket"), F.xxhash64("word").alias("hash"))
+    rows = named.mapInArrow(gather, "word string, n long, bucket int, hash long").toArrow()
+    sums, words = rows.filter(pa.compute.is_null(rows["word"])), rows.filter(pa.compute.is_valid(rows["word"]))
+    words = words.take(pa.compute.sort_indices(words, [("n", "descending"), ("word", "ascending")]))
+    top, tail = words.slice(0, own), words.slice(own)
+    n, bucket, hashes = (tail[c].to_numpy() for c in ("n", "bucket", "hash"))
+    at = sums["bucket"].to_numpy()
+    frequent = n >= MIN_COUNT
+    rare = np.bincount(at, sums["n"].to_numpy(), SHARED) + np.bincount(bucket[~frequent], n[~frequent], SHARED)
+    kinds = np.bincount(at, sums["hash"].to_numpy(), SHARED) + np.bincount(bucket[~frequent], minlength=SHARED)
+    every = rare + np.bincount(bucket[frequent], n[frequent], SHARED)
+    order = np.argsort(hashes[frequent])
+    logs = (np.log(n[frequent]) - np.log(every[bucket[frequent]] + 1))[order].astype(np.float32)
+    shares = hashes[frequent][order].astype(np.int64), logs, np.log((rare + 1) / (every + 1) / (kinds + 1))
     unigram = np.full(TOKENS, 0.5)
-    unigram[: len(words)] += [n for _, n in words]
-    unigram[TOKENS - SHARED :] += max(0, total - sum(n for _, n in words)) / SHARED
-    return Vocabulary({w: i for i, (w, _) in enumerate(words)}, unigram / unigram.sum())
+    unigram[: len(top)] += top["n"].to_numpy()
+    unigram[own:] += every
+    return Vocabulary({w: i for i, w in enumerate(top["word"].to_pylist())}, unigram / unigram.sum(), shares)
 
 
 _PLACES = [o for o in range(-WINDOW, WINDOW + 1) if o]
@@ -253,7 +331,10 @@ class Model:
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(sums of log-probabilities, token counts)."""
         ids, sizes = _stream(self.vocabulary, texts)
-        sums = np.concatenate([[0.0], np.cumsum(log_probabilities(self.weights, ids))])
+        found = log_probabilities(self.weights, ids)
+        if len(sizes) and sizes.sum():
+            found[ids < TOKENS] += np.concatenate([self.vocabulary.log_shares(words_of(t)) for t in texts])
+        sums = np.concatenate([[0.0], np.cumsum(found)])
         starts = np.cumsum(np.concatenate([[WINDOW], sizes[:-1] + WINDOW])) if len(sizes) else sizes
         return sums[starts + sizes] - sums[starts], sizes
 

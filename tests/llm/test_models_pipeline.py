@@ -86,6 +86,30 @@ def test_lm_scores(spark):
     assert M.train(docs.where("doc_id IN (900, 901)")).score(["x"])[1].tolist() == [1]
 
 
+def test_lm_shares_of_a_token(spark):
+    """Words beyond the tokens of their own are told apart, and unseen ones come last."""
+    ranked = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(w for i, w in enumerate(ranked) if k < (120 if i < 900 else 60 if i < 1200 else 25 if i < 1500 else 2)) for k in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    vocabulary = M.vocabulary(docs)
+    own = M.TOKENS - M.SHARED
+    assert len(vocabulary.known) == own and set(vocabulary.known) <= set(ranked[:900])
+    counts = {w: 120 if i < 900 else 60 if i < 1200 else 25 if i < 1500 else 2 for i, w in enumerate(ranked)}
+    for bucket in range(M.SHARED):
+        mine = [w for w in ranked if w not in vocabulary.known and zlib.crc32(w.encode()) % M.SHARED == bucket]
+        total = sum(counts[w] for w in mine)
+        rare = [w for w in mine if counts[w] < M.MIN_COUNT]
+        shares = dict(zip(mine, np.exp(vocabulary.log_shares(mine))))
+        for w in mine:
+            want = counts[w] / (total + 1) if counts[w] >= M.MIN_COUNT else (sum(counts[v] for v in rare) + 1) / (total + 1) / (len(rare) + 1)
+            assert abs(shares[w] - want) < 1e-5
+        unseen = next(x for x in map("zz{}".format, range(10**6)) if zlib.crc32(x.encode()) % M.SHARED == bucket)
+        assert abs(sum(shares.values()) + np.exp(vocabulary.log_shares([unseen])[0]) - 1) < 1e-5
+    model = M.Model(vocabulary, M.start_weights(vocabulary.unigram))
+    known, often, unseen = (model.score([t])[0][0] for t in ("w1", "w1000", "qxzzyq"))
+    assert known > often > unseen
+
+
 def test_pipeline_by_brute_force(spark, tmp_path):
     """Each stage on what its predecessor kept, against plain definitions."""
     import corpus_pipeline as P
