@@ -1,6 +1,7 @@
 """Licence recognition by sentences and ordered rules, in SQL functions alone.
 
-A text is cut into sentences, each brought to a normal form (A-Z lower-cased,
+A text is cut into sentences, which may be wrapped over lines and commented
+out (a sentence that is not known is tried by clauses and lines), each brought to a normal form (A-Z lower-cased,
 everything but letters a-z and digits as one blank) and looked up among the
 known licence sentences.  The identifiers found, in order, are the text's
 sequence; a rule is met where its own identifiers stand next to each other in
@@ -61,7 +62,10 @@ RULES: list[tuple[str, str, tuple[int, ...]]] = [
     ("cc-by-nc-text", "CC-BY-NC-4.0", (61,)),
 ]
 
-_SPLIT = r"[.!?]+(?:[ \t\r\n]+|$)|\n+"
+#: Ends of sentences; single newlines are no ends, nor is the blank line before the address of the Apache notice.
+_SENTENCE = r"[.!?]+(?:[ \t\r\n]+|$)|:[ \t]*\n|(?<!License at)\n[ \t]*\n"
+#: Comment leaders and carriage returns.
+_LEADER = r"(?m)\r(?=\n)|^[ \t]*(?:/?[*]+/?|//+|#+|;+|--)[ \t]*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,9 +78,18 @@ def identifiers(text: Column, sentences: list[tuple[int, str]] = SENTENCES) -> C
     ids = F.array(*[F.lit(i) for i, _ in sentences])
     known = F.array(*[F.lit(s) for _, s in sentences])
     shortest = min(len(s) for _, s in sentences)
+    look = lambda s: F.array_position(known, normal(s))
     # a piece is no shorter than its normal form: most are gone before the costly part
-    pieces = F.filter(F.split(text, _SPLIT), lambda s: F.length(s) >= shortest)
-    places = F.transform(pieces, lambda s: F.array_position(known, normal(s)))
+    cut = lambda s, ends: F.filter(F.split(s, ends), lambda x: F.length(x) >= shortest)
+
+    def within(piece, ends):
+        """The place of the whole piece, else those of its parts."""
+        rest = F.flatten(F.transform(cut(piece, ends[0]), lambda s: within(s, ends[1:]))) if ends else F.slice(F.array(look(piece)), 1, 0)
+        return F.when(look(piece) > 0, F.array(look(piece))).otherwise(rest)
+
+    # a sentence over several lines, else its clauses, else single lines
+    pieces = cut(F.regexp_replace(text, _LEADER, ""), _SENTENCE)
+    places = F.flatten(F.transform(pieces, lambda s: within(s, [r";[ \t\n]+", r"\n+"])))
     return F.transform(F.filter(places, lambda p: p > 0), lambda p: F.element_at(ids, p.cast("int")))
 
 

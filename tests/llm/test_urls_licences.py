@@ -72,3 +72,16 @@ def test_licences(spark):
     got = sorted((tuple(r) for r in L.scan(docs).collect()), key=str)
     assert got == sorted(((i, a, b, c, bool(b)) for i, _, a, b, c in rows), key=str)
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_wrapped_notices(spark):
+    import textwrap
+
+    mit = [next(s for i, s in L.SENTENCES if i == k).capitalize() for k in (10, 11, 12)]
+    wrapped = f"MIT License\n\nCopyright (c) 2024 X\n\n{textwrap.fill(mit[0], 70)}:\n\n{textwrap.fill(mit[1] + '.', 70)}\n\n{textwrap.fill(mit[2] + '.', 70)}"
+    head = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at'
+    apache = head + "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law"
+    texts = [wrapped, wrapped.replace("\n", "\r\n"), textwrap.indent(wrapped, "# ", lambda x: True), apache, textwrap.indent(apache, " * ", lambda x: True), " ".join(apache.split("\n\nUnless")[0].split())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.identifiers, r.rules) for r in L.scan(docs).orderBy("doc_id").collect()]
+    assert got == [("10,11,12", "mit-text")] * 3 + [("20,21,22", "apache-notice")] * 3
