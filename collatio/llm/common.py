@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK_DIR = "/tmp/checkpoints"
+#: A key with more than this part of all rows is hot; there are at most as many.
+HOT_PARTS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
-    named = spark.conf.get("spark.checkpoint.dir", None) or _FALLBACK_DIR
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its machines share")
+        named = _FALLBACK_DIR
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -70,6 +76,18 @@ def narrow(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
+def coded(words: pa.ListArray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(index of every word among the distinct ones, distinct words, words in each row), without empty words."""
+    sizes = pa.compute.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = words.flatten().dictionary_encode()
+    index, distinct = found.indices.to_numpy(), found.dictionary.to_pylist()
+    if "" in distinct:
+        real = index != distinct.index("")
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        index = index[real]
+    return index, distinct, sizes
+
+
 def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """flat[start : start + size] of every pair, one behind the other."""
     ends = np.cumsum(sizes, dtype=np.int64)
@@ -86,6 +104,21 @@ def null_safe(left: DataFrame, right: DataFrame, names: list[str]):
     return on
 
 
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined with table (one row per key) where one key may hold most rows.
+
+    table's column `count` says how many rows bear each key.  Keys with more
+    than 1 of HOT_PARTS of all rows, of which there are fewer than HOT_PARTS,
+    are broadcast, so their rows stay where they are; the others are joined by
+    merging.  keys are null-free; table is read three times, rows twice.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > total / HOT_PARTS
+    names = F.broadcast(table.where(hot).select(*keys))
+    many = rows.join(F.broadcast(table.where(hot)), keys)
+    return many.unionByName(rows.join(names, keys, "left_anti").join(table.where(~hot).hint("shuffle_merge"), keys, how))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node, by alternating star steps.
 
