@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatio.llm.common import connected_components, cut
+from collatio.llm.common import connected_components, cut, join_counted
 
 #: Shingles hashed at once: bounds what a very long text needs.
 CHUNK_SHINGLES = 1 << 18
@@ -33,8 +33,8 @@ TILE = 512
 SPLIT = 65536
 #: The same where the shingle sets travel along.
 SPLIT_SETS = 2048
-#: Bytes of shingle sets of visitors that a task holds before they are compared.
-HELD_SETS = 1 << 25
+#: Bytes of visitors that a task holds before they are compared.
+HELD_BYTES = 1 << 25
 SEED = 42
 
 
@@ -130,7 +130,7 @@ def fingerprints(docs: DataFrame, width: int, lanes: int = 1, distinct: bool = F
 def popcounts(fps: np.ndarray, parts: int) -> np.ndarray:
     """(n, parts) bit counts of equal parts of each fingerprint (n, lanes)."""
     counts = np.bitwise_count(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), parts, -1))
-    return counts.sum(axis=2, dtype=np.int64)
+    return counts.sum(axis=2, dtype=np.int16)
 
 
 class Forest:
@@ -153,30 +153,41 @@ class Forest:
         return True
 
 
+def _bounds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest count of every part in each tile of TILE rows."""
+    starts = np.arange(0, len(counts), TILE)
+    return np.minimum.reduceat(counts, starts), np.maximum.reduceat(counts, starts)
+
+
 def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, ratio: tuple[np.ndarray, np.ndarray, float] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) at most radius apart, tile by tile.
 
-    a, b: (n, lanes) words; b None: pairs i < j inside a.  Rows are taken by
-    rising bit count, and tile pairs whose counts lie further apart than the
-    radius are skipped.  ratio: (sizes of a, sizes of b, least quotient).
+    a, b: (n, lanes) words; b None: pairs i < j inside a.  Rows are taken in
+    the order of the bit counts of their eight parts, and a pair of tiles is
+    skipped if those counts, as intervals, lie further apart in sum than the
+    radius.  ratio: (sizes of a, sizes of b, least quotient).
     """
+    if not len(a) or b is not None and not len(b):
+        return
     inside = b is None
     b = a if inside else b
-    pa_, pb = popcounts(a, 1)[:, 0], popcounts(b, 1)[:, 0]
-    oa, ob = np.argsort(pa_, kind="stable"), np.argsort(pb, kind="stable")
-    for x in range(0, len(oa), TILE):
+    ca = popcounts(a, 8)
+    cb = ca if inside else popcounts(b, 8)
+    oa = np.lexsort(ca.T[::-1])
+    ob = oa if inside else np.lexsort(cb.T[::-1])
+    low_a, high_a = _bounds(ca[oa])
+    low_b, high_b = _bounds(cb[ob])
+    for k, x in enumerate(range(0, len(oa), TILE)):
         ia = oa[x : x + TILE]
-        low, high = pa_[ia[0]] - radius, pa_[ia[-1]] + radius
-        begin, end = np.searchsorted(pb[ob], low, "left"), np.searchsorted(pb[ob], high, "right")
-        if inside:
-            begin = x
-        for y in range(int(begin), int(end), TILE):
-            ib = ob[y : min(y + TILE, int(end))]
+        apart = np.maximum(0, np.maximum(low_b - high_a[k], low_a[k] - high_b)).sum(axis=1)
+        near = np.flatnonzero(apart <= radius)
+        for y in near[near >= k].tolist() if inside else near.tolist():
+            ib = ob[y * TILE : (y + 1) * TILE]
             distance = np.zeros((len(ia), len(ib)), dtype=np.uint16)
             for lane in range(a.shape[1]):
                 distance += np.bitwise_count(a[ia, lane][:, None] ^ b[ib, lane][None, :])
             i, j = np.nonzero(distance <= radius)
-            if inside and y == x:
+            if inside and y == k:
                 i, j = i[j > i], j[j > i]
             i, j = ia[i], ib[j]
             if ratio is not None and len(i):
@@ -220,6 +231,8 @@ def links(celled: DataFrame, steps: list[int], lanes: int, radius: int, least_ra
     own cell and guest in those a step away.  The number of cells is bounded by
     the signature, so their counts are broadcast; a crowded cell's hosts are
     dealt into blocks, and every block meets every block and all guests.
+    rep and fp are never null (a null text has a fingerprint); repeated rows of
+    one rep only repeat work; an empty table gives an empty table.
     confirm: classes close by fingerprint link only if the Jaccard similarity
     of their sets (another column, grams binary) is at least this; it is worked
     out only for those not yet joined by links that held.
@@ -313,8 +326,8 @@ def links(celled: DataFrame, steps: list[int], lanes: int, radius: int, least_ra
                 if role[s] == 1 and block_now is None:
                     continue  # a block without hosts
                 held.append((rep[s:e], fp[s:e], size[s:e], grams[s:e]))
-                weight += 8 * int(size[s:e].sum()) if confirm is not None else 0
-                if role[s] == 1 and weight > HELD_SETS:
+                weight += 8 * int(size[s:e].sum()) if confirm is not None else 64 * int(e - s)
+                if role[s] == 1 and weight > HELD_BYTES:
                     yield from settle()
         yield from settle()
 
@@ -332,17 +345,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, parts: int
     of null ids alone has a null id; an empty table gives an empty table.
     """
     prints = cut(fingerprints(docs, width, 1, False, id_col, text_col).select("id", "fp"))
-    classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     # the first word itself names a class
-    named = classes.select(F.col("fp")[0].alias("rep"), "fp", F.lit(0).cast("long").alias("size"), "least")
-    celled, steps = _cells_by_counts(named.drop("least"), parts, radius)
+    named = cut(classes.select(F.col("fp")[0].alias("rep"), "fp", F.lit(0).cast("long").alias("size"), "least", "n"), slim=True)
+    celled, steps = _cells_by_counts(named.drop("least", "n"), parts, radius)
     edges = cut(links(celled, steps, 1, radius), slim=True)
     roots = connected_components(edges)
     linked = named.join(roots, named.rep == roots.node).select("rep", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
     grouped = linked.join(smallest, "root").select("rep", "component")
-    alone = named.select("rep", "least").join(grouped, "rep", "left").select(F.col("rep").alias("_rep"), F.coalesce("component", "least").alias("component"))
-    joined = prints.withColumn("rep", F.col("fp")[0]).join(alone, F.col("rep") == F.col("_rep"))
+    each = cut(named.select("rep", "least", "n").join(grouped, "rep", "left").select("rep", F.coalesce("component", "least").alias("component"), "n"), slim=True)
+    # a third of all rows may be copies of one text
+    joined = join_counted(prints.select("id", F.col("fp")[0].alias("rep")), each, ["rep"], "n")
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("rep"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -402,7 +416,12 @@ def _with_sets(docs: DataFrame, classes: DataFrame, width: int, id_col: str, tex
 
 
 def kept_keys(docs: DataFrame, **options) -> DataFrame:
-    """(id, sha, n) of the row that stays of every group, for common.retain."""
+    """(id, sha, n) of the row that stays of every group, for common.retain.
+
+    The smallest id stays, a null one only where there is no other, of equal
+    ids the text of the smallest hash; null, empty and blank texts are one
+    group; n counts rows repeated in full; an empty table gives an empty table.
+    """
     classes, _ = near_groups(docs, **options)
     stays = classes.groupBy("root").agg(F.min("best").alias("best"))
     return stays.select("best.id", "best.sha", "best.n")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from collatio.llm import common as C
 from collatio.llm import decontam as D
 from collatio.llm import simhash as S
 from collatio.llm.common import retain
@@ -34,9 +35,11 @@ def families(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,split", [(1, S.SPLIT), (2, 3)])
-def test_near_duplicates(spark, seed, split, monkeypatch):
+@pytest.mark.parametrize("seed,split,hot", [(1, S.SPLIT, 1000), (2, 3, 30)])
+def test_near_duplicates(spark, seed, split, hot, monkeypatch):
     monkeypatch.setattr(S.links, "__defaults__", (None, split))
+    monkeypatch.setattr(C, "HOT_PARTS", hot)
+    monkeypatch.setattr(S, "HELD_BYTES", 64 * split)
     texts = families(seed)
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 1), (None, texts[4], 1)], "doc_id long, text string, rep int")
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in S.near_duplicates(docs).collect()}
@@ -68,6 +71,11 @@ def test_close_pairs_and_cells():
     assert got == want
     both = {(i, j) for x, y in S.close_pairs(a[:700], a[700:], 2) for i, j in zip(x.tolist(), y.tolist())}
     assert both == {(i, j - 700) for i, j in want if i < 700 <= j}
+    many = (base[rng.integers(0, 40, 20_000)] ^ (np.uint64(1) << rng.integers(0, 64, (20_000, 1)).astype(np.uint64)))
+    low, high = S._bounds(S.popcounts(many, 8)[np.lexsort(S.popcounts(many, 8).T[::-1])])
+    apart = np.maximum(0, np.maximum(low[None] - high[:, None], low[:, None] - high[None])).sum(axis=2)
+    assert (apart > 2).mean() > 0.3  # tiles are skipped
+    assert not list(S.close_pairs(a[:0], None, 2)) and not list(S.close_pairs(a, a[:0], 2))
     steps = S._half_ball(4, 2)
     assert len(steps) == len(set(steps)) == 20
 
@@ -93,7 +101,7 @@ def test_near_copies_stage(spark):
 def test_near_copies_by_exact_similarity(spark, split, monkeypatch):
     """Fingerprints of texts at 0.6 to 0.8 are close, but only 0.8 links."""
     monkeypatch.setattr(S, "SPLIT_SETS", split)
-    monkeypatch.setattr(S, "HELD_SETS", split)
+    monkeypatch.setattr(S, "HELD_BYTES", split)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     rows = ["", None, "one", "One", "one two"]
@@ -174,6 +182,20 @@ def test_decontamination_against_plain_alignment():
     assert hits > 50
 
 
+def test_decontamination_of_repeated_grams(monkeypatch):
+    """One letter over and over: hits are taken in pieces, bands joined; the rows do not change."""
+    items = [(1, "a" * 100), (2, "a" * 60 + "b" + "a" * 60), (3, "ab" * 40)]
+    texts = ["a" * 300_000, "b" + "a" * 119, "x" * 50, "ab" * 30, "a" * 60 + "c" + "a" * 60]
+    index = D.Index(items)
+    got = list(index.search_all(texts))
+    assert [[r[:2] for r in rows] for rows in got] == [[(1, 0), (2, 1)], [(1, 0), (2, 2)], [], [], [(1, 1), (2, 1)]]
+    assert len(index.candidates(D.codes(texts[0]))) <= 3
+    monkeypatch.setattr(D, "MAX_HITS", 1000)
+    monkeypatch.setattr(D, "MAX_WIDTH", 64)
+    for text, rows in zip(texts[1:], got[1:]):
+        assert index.search(text) == rows
+
+
 def test_decontamination_rows(spark, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog and runs away into the dark forest"
     docs = spark.createDataFrame([(1, "Lead. " + item.upper() + " tail", 0), (2, "nothing here", 0), (3, None, 0), (None, item.replace("fox", "f0x"), 0), (1, "", 0)], "doc_id long, text string, matches int")
