@@ -13,6 +13,8 @@ from collatio.profiles import FRONT_SECTIONS, TextProfile
 
 #: Use only behind (?U).
 SPACE = r"[\s\x{1c}-\x{1f}]"
+#: The same characters, one by one.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _SPECIAL = "\\^$.|?*+()[]{}-&~"
 
 
@@ -22,11 +24,11 @@ def quote(text: str) -> str:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U){SPACE}+$", "")
+    return F.rtrim(text, F.lit(WHITE))
 
 
 def without_space(text: Column) -> Column:

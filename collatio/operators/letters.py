@@ -30,7 +30,7 @@ def select_letters(found: DataFrame, targets: DataFrame, collections: DataFrame,
         F.length("plain_text").alias("char_count_plain"),
         F.substring("plain_text", 1, 50).alias("body_first_50"),
         "sender_label", "target_name", "source_zip", "source_xml_path",
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("fetched_at"),
+        F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("fetched_at"),
     )
 
 
@@ -42,7 +42,7 @@ def check_targets(targets: DataFrame, collections: DataFrame) -> None:
 
 
 def with_letter(sentences: DataFrame, letters: DataFrame) -> DataFrame:
-    """Sentences with their letter's columns as a struct."""
+    """Sentences with their letter's columns as a struct; a sentence without letter (null ids too) gives no row."""
     side = letters.select(F.col("data_id").alias("_id"), F.col("target_name").alias("_target"), F.struct("*").alias("letter"))
     return sentences.join(side, (sentences.letter_data_id == F.col("_id")) & (sentences.target_name == F.col("_target"))).drop("_id", "_target")
 

@@ -75,7 +75,12 @@ def paragraphs(lines: DataFrame) -> DataFrame:
 
 
 def parse_marked_text(files: DataFrame, profile: TextProfile = HAN_CORPUS) -> DataFrame:
-    """(file_name, text) -> sections; text before the first header is discarded."""
+    """(file_name, text) -> sections; text before the first header is discarded.
+
+    Rows come in no order; (source_file, section) is their place.  A null or
+    empty text has no section; a file that is given twice is not foreseen (its
+    sections would share a place).
+    """
     lines = classify_lines(files)
     headers = lines.where("role = 'header'").select("file_name", "section", "juan_label")
     heads = (
@@ -91,8 +96,8 @@ def parse_marked_text(files: DataFrame, profile: TextProfile = HAN_CORPUS) -> Da
         T.volume_number(F.col("juan_label"), anywhere=True).alias("juan_num"),
         "juan_label", "file_name", F.lit(None).cast("string").alias("source"),
         *_arrays("heads", "paras"),
-        "section",
-    ).orderBy("file_name", "section").drop("section")
+        F.col("file_name").alias("source_file"), F.col("section").cast("long").alias("section"),
+    )
 
 
 def _arrays(heads: str, paras: str) -> list[Column]:
@@ -108,10 +113,15 @@ def _arrays(heads: str, paras: str) -> list[Column]:
 
 
 def drop_repeats(rows: DataFrame, by: list[str], text: str = "text", order: str = "line_no", limit: int = HAN_CORPUS.repeat_limit) -> DataFrame:
-    """Texts that occur limit times or more in a group keep their first row only."""
-    same = Window.partitionBy(*by, text)
-    counted = rows.withColumn("_n", F.count("*").over(same)).withColumn("_k", F.row_number().over(same.orderBy(order)))
-    return counted.where((F.col("_n") < limit) | (F.col("_k") == 1)).drop("_n", "_k")
+    """Texts that occur limit times or more in a group keep their first row only.
+
+    Nulls are a group and a text like others; of rows with one place any is
+    the first.  Rows keep all their columns, whatever their names.
+    """
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("r"))
+    same = Window.partitionBy(*[F.col(f"r.`{c}`") for c in (*by, text)])
+    counted = packed.withColumn("n", F.count("*").over(same)).withColumn("k", F.row_number().over(same.orderBy(F.col(f"r.`{order}`"))))
+    return counted.where((F.col("n") < limit) | (F.col("k") == 1)).select("r.*")
 
 
 def parse_tei_items(items: DataFrame, profile: TextProfile = HAN_CORPUS) -> DataFrame:
@@ -142,17 +152,27 @@ def parse_tei_items(items: DataFrame, profile: TextProfile = HAN_CORPUS) -> Data
         T.volume_number(F.col("juan_label"), anywhere=False).alias("juan_num"),
         "juan_label", F.lit(None).cast("string").alias("file_name"), F.lit("tei").alias("source"),
         *_arrays("heads", "paras"),
-        F.col("file_name").alias("_file"), "section",
-    ).orderBy("_file", "section").drop("_file", "section")
+        F.col("file_name").alias("source_file"), F.col("section").cast("long").alias("section"),
+    )
 
 
-def missing_numbers(rows: DataFrame, column: str, first: int, last: int) -> DataFrame:
-    """Numbers from first to last that the column does not hold."""
-    wanted = rows.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias(column))
-    return wanted.join(rows.select(F.col(column).cast("int")), column, "left_anti")
+def missing_numbers(rows: DataFrame, column: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Numbers from first to last (else from the least to the largest held) that the column does not hold.
+
+    Nulls and repeats count for nothing; a column without numbers misses none.
+    """
+    held = rows.select(F.col(column).cast("long").alias("_number"))
+    if first is None or last is None:
+        low, high = held.agg(F.min("_number"), F.max("_number")).first()
+        if low is None:
+            return held.where("false").withColumnRenamed("_number", column)
+        first, last = low if first is None else first, high if last is None else last
+    wanted = rows.sparkSession.range(first, last + 1).withColumnRenamed("id", "_number")
+    return wanted.join(held, "_number", "left_anti").withColumnRenamed("_number", column)
 
 
 def failed_labels(sections: DataFrame) -> DataFrame:
+    """Labels without a number, one row for each such section; a null label has the number null and is none."""
     return sections.where("juan_num = -1").select("juan_label")
 
 

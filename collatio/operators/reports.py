@@ -1,6 +1,6 @@
 """Annotation by keyword, profiles, rollups and distributions.
 
-Shares and means are left unrounded; rounding belongs to the writers.
+Shares and means are left unrounded, but in the summaries that are sheets.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collatio.functions import text as T
+from collatio.functions.numbers import round_even
 from collatio.profiles import HAN_CORPUS, TextProfile
 
 LENGTH_BUCKETS = (("1-3", 3), ("4-10", 10), ("11-30", 30), ("31-60", 60), ("61-100", 100), ("101+", None))
@@ -84,8 +85,8 @@ def length_profile(rows: DataFrame, length: str = "char_count") -> DataFrame:
 
 def top_groups(rows: DataFrame, group: str, order: list[str], n: int = 10) -> DataFrame:
     """The n groups with most rows; of equal counts that which comes first."""
-    counts = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("_first"))
-    return counts.orderBy(F.desc("n"), "_first").limit(n).select(group, "n")
+    counts = rows.groupBy(F.col(f"`{group}`").alias("_group")).agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_first"))
+    return counts.orderBy(F.desc("_n"), "_first").limit(n).select(F.col("_group").alias(group), F.col("_n").alias("n"))
 
 
 def conditional_summary(rows: DataFrame, first: str, second: str, length: str | None = None) -> DataFrame:
@@ -131,3 +132,44 @@ def letters_rollup(letters: DataFrame, sentences: DataFrame) -> DataFrame:
         "target_name", "kwon", "level", F.col("n").alias("letters"), "char_count_raw", "char_count_plain",
         F.when(F.col("level") == 1, F.coalesce("_n", F.lit(0))).alias("sentences"),
     ).orderBy("target_name", "level", "kwon")
+
+
+# The items of the corpus summary sheet in order; an empty one is an empty line.
+CORPUS_SUMMARY = (
+    "[전체] 총 sentence 수", "[전체] 理 포함", "[전체] 氣 포함", "[전체] 理+氣 둘 다", "[전체] 理만 (氣 없음)", "[전체] 氣만 (理 없음)", "[전체] 둘 다 없음",
+    "", "[메타] 평균 char_count", "[메타] 중위 char_count", "[메타] 최댓값 char_count", "[메타] 최솟값 char_count",
+)
+# The totals of the letter summary sheet in order, and its words.
+LETTERS_SUMMARY = ("Letter 편수", "문장 수 (sentence)", "총 글자 수 (표점 포함, raw)", "총 글자 수 (백문, plain)", "평균 문장 길이 (백문)")
+VOLUME, SUBTOTAL = "권", "합계"
+
+
+def _items(row: DataFrame, names: tuple[str, ...], values: list[Column]) -> DataFrame:
+    """(position, item, value double) of one row."""
+    each = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("item"), v.cast("double").alias("value")) for i, (n, v) in enumerate(zip(names, values, strict=True))])
+    return row.select(F.explode(each).alias("x")).select("x.*").orderBy("position")
+
+
+def corpus_summary(sentences: DataFrame, first: str = "has_li", second: str = "has_qi", length: str = "char_count") -> DataFrame:
+    """(position, item, value) of the corpus summary sheet: counts of two flags, and the lengths' profile.
+
+    The mean has one decimal, the median is the interpolated one without its
+    fraction; of an empty table counts are 0 and lengths null.
+    """
+    one = F.lit(1).alias("_one")
+    row = conditional_summary(sentences, first, second).select("*", one).join(length_profile(sentences, length).select("mean", "median_int", "max", "min", one), "_one")
+    counts = [F.col(c) for c in ("total", "first", "second", "both", "first_only", "second_only", "neither")]
+    return _items(row, CORPUS_SUMMARY, [*counts, F.lit(None), round_even(F.col("mean"), 1), F.col("median_int"), F.col("max"), F.col("min")])
+
+
+def letters_totals(letters: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(position, item, value) of the letter summary sheet's head; the mean has two decimals, 0 without sentences."""
+    values = [F.col(c) for c in ("letters", "sentences", "chars_raw", "chars_plain")]
+    return _items(overall(letters, sentences), LETTERS_SUMMARY, [*values, round_even(F.col("mean_length"), 2)])
+
+
+def letters_blocks(letters: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Rows of the letter summary sheet by target: its volumes, then its subtotal, which alone counts sentences."""
+    rows = letters_rollup(letters, sentences)
+    volume = F.when(F.col("level") == 1, SUBTOTAL).otherwise(F.concat(F.lit(VOLUME), F.col("kwon").cast("string")))
+    return rows.select("target_name", volume.alias("volume"), "letters", "char_count_raw", "char_count_plain", "sentences").orderBy("target_name", "level", "kwon")

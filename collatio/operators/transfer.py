@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from collatio.functions import text as T
-from collatio.operators.align import is_variant, last_per_label, opcodes
+from collatio.operators.align import is_variant, last_per_label, opcodes, place
 from collatio.profiles import HAN_CORPUS, TextProfile
 
 
@@ -69,55 +69,81 @@ def _paragraph_slices(make) -> Column:
     return F.transform(bounds, lambda b: make(F.slice("units", b["s"] + 1, b["n"])))
 
 
-def fallback_spans(done: DataFrame, profile: TextProfile = HAN_CORPUS, label: str = "juan_label") -> DataFrame:
-    """Ranges of a that got no marks: unequal replacements and long deletions."""
-    unequal = (F.col("op.tag") == "replace") & ~is_variant(F.col("op"))
-    long = (F.col("op.tag") == "delete") & (F.col("op.i2") - F.col("op.i1") > profile.small_delete)
-    rows = done.select(label, "a_text", "b_plain", "out_text", "units", F.posexplode("ops").alias("op_no", "op")).where(unequal | long)
-    start = F.length(_text(F.slice("units", F.lit(1), F.col("op.i1"))))
-    size = F.col("op.i2") - F.col("op.i1")
-    before = F.greatest(F.lit(0), F.col("out_start") - profile.fallback_context)
-    return rows.withColumn("out_start", start).withColumn("out_end", F.col("out_start") + size).select(
-        label, "op_no",
-        F.when(F.col("op.tag") == "replace", "replace_lendiff").otherwise("delete_large").alias("type"),
-        F.col("op.i1").alias("k_start"), F.col("op.i2").alias("k_end"),
-        F.substring(F.col("a_text"), F.col("op.i1") + 1, size).alias("k_text"),
-        F.substring(F.col("b_plain"), F.col("op.j1") + 1, F.col("op.j2") - F.col("op.j1")).alias("z_text"),
-        F.substring(F.col("out_text"), before + 1, F.col("out_start") - before).alias("context_before"),
-        F.substring(F.col("out_text"), F.col("out_end") + 1, F.lit(profile.fallback_context)).alias("context_after"),
-        "out_start", "out_end",
-    )
-
-
-def punctuate(a: DataFrame, b: DataFrame, profile: TextProfile = HAN_CORPUS) -> tuple[DataFrame, DataFrame]:
-    """(punctuated sections, fallback spans) of sections a with the marks of b.
+def fallback_spans(done: DataFrame, profile: TextProfile = HAN_CORPUS, label: str = "juan_label", extra: list[str] | None = None) -> DataFrame:
+    """Ranges of a that got no marks: unequal replacements and long deletions.
 
-    Sections of a without partner pass through without marks; a keeps repeated
-    labels, of b the last counts.
+    Offsets in the output run along the opcodes once, and pieces are cut
+    inside each section, from its characters, before rows are made.
+    """
+    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), F.array().cast("array<struct<op_no:int,kind:string,op:struct<tag:string,i1:int,i2:int,j1:int,j2:int>,start:int>>").alias("found"))
+
+    def step(s, op):
+        unequal = (op["tag"] == "replace") & ~is_variant(op)
+        long = (op["tag"] == "delete") & (op["i2"] - op["i1"] > profile.small_delete)
+        kind = F.when(unequal, "replace_lendiff").otherwise("delete_large")
+        own = F.struct(s["no"].alias("op_no"), kind.alias("kind"), op.alias("op"), s["at"].alias("start"))
+        written = F.length(_text(F.slice("units", op["i1"] + 1, op["i2"] - op["i1"])))
+        return F.struct((s["at"] + written).alias("at"), (s["no"] + 1).alias("no"), F.when(unequal | long, F.concat(s["found"], F.array(own))).otherwise(s["found"]).alias("found"))
+
+    ready = done.select(label, *(extra or []), "a_chars", T.chars(F.col("b_plain")).alias("b_chars"), T.chars(F.col("out_text")).alias("out_chars"), F.aggregate("ops", state, step, lambda s: s["found"]).alias("found"))
+    piece = lambda chars, start, stop: F.array_join(F.slice(chars, start + 1, F.greatest(stop - start, F.lit(0))), "")
+
+    def row(x):
+        op, start = x["op"], x["start"]
+        stop = start + op["i2"] - op["i1"]
+        return F.struct(
+            x["op_no"].alias("op_no"), x["kind"].alias("type"), op["i1"].alias("k_start"), op["i2"].alias("k_end"),
+            piece("a_chars", op["i1"], op["i2"]).alias("k_text"), piece("b_chars", op["j1"], op["j2"]).alias("z_text"),
+            piece("out_chars", F.greatest(F.lit(0), start - profile.fallback_context), start).alias("context_before"),
+            piece("out_chars", stop, stop + profile.fallback_context).alias("context_after"),
+            start.alias("out_start"), stop.alias("out_end"),
+        )
+
+    return ready.select(label, *(extra or []), F.explode(F.transform("found", row)).alias("s")).select(label, *(extra or []), "s.*")
+
+
+def marked(a: DataFrame, b: DataFrame, profile: TextProfile = HAN_CORPUS) -> DataFrame:
+    """Sections of a with the opcodes, units and output of their partner in b; without partner these are null.
+
+    a keeps repeated labels, of b the last counts; a null label has no
+    partner.  This is the table that punctuated() and spans() read; it is
+    worth writing to the shared folder once.
     """
     partner = last_per_label(b).select(F.col("juan_label").alias("_label"), F.array_join("paragraphs", "").alias("b_text"))
     joined = a.join(partner, F.col("juan_label") == F.col("_label"), "left").withColumn("matched", F.col("_label").isNotNull())
-    keys = ["juan_num", "juan_label", "file_name", "headings", "paragraphs_byline", "matched"]
-    done = transfer(joined.where("matched"), profile, keys)
-    spans = fallback_spans(done, profile)
+    dealt = joined.repartition(4 * a.sparkSession.sparkContext.defaultParallelism)
+    keys = ["juan_num", "juan_label", "file_name", "headings", "paragraphs_byline", "matched", *[c for c in place(a) if c in ("source_file", "section")]]
+    return transfer(dealt, profile, keys)
+
+
+def punctuated(done: DataFrame, profile: TextProfile = HAN_CORPUS) -> DataFrame:
+    """Punctuated sections of marked(); those without partner pass through without marks."""
     lendiff = F.filter("ops", lambda o: (o["tag"] == "replace") & ~is_variant(o))
     long = F.filter("ops", lambda o: (o["tag"] == "delete") & (o["i2"] - o["i1"] > profile.small_delete))
-    columns = ["juan_num", "juan_label", "file_name", "headings", "paragraphs_plain", "paragraphs_punctuated", "paragraphs_provenance", "paragraphs_byline", "fallback_span_count", "matched"]
-    marked = done.select(
-        *keys, F.col("paragraphs").alias("paragraphs_plain"),
-        _paragraph_slices(_text).alias("paragraphs_punctuated"),
-        _paragraph_slices(_provenance).alias("paragraphs_provenance"),
-        (F.size(lendiff) + F.size(long)).alias("fallback_span_count"),
-    ).select(columns)
-    passed = joined.where("NOT matched").select(
-        *keys, F.col("paragraphs").alias("paragraphs_plain"), F.col("paragraphs").alias("paragraphs_punctuated"),
-        F.transform("paragraphs", lambda p: F.repeat(F.lit(" "), F.length(p))).alias("paragraphs_provenance"),
-        F.lit(0).alias("fallback_span_count"),
-    ).select(columns)
-    return marked.unionByName(passed), spans
+    blank = F.transform("paragraphs", lambda p: F.repeat(F.lit(" "), F.length(p)))
+    return done.select(
+        "juan_num", "juan_label", "file_name", "headings", F.col("paragraphs").alias("paragraphs_plain"),
+        F.when(F.col("matched"), _paragraph_slices(_text)).otherwise(F.col("paragraphs")).alias("paragraphs_punctuated"),
+        F.when(F.col("matched"), _paragraph_slices(_provenance)).otherwise(blank).alias("paragraphs_provenance"),
+        "paragraphs_byline",
+        F.when(F.col("matched"), F.size(lendiff) + F.size(long)).otherwise(0).alias("fallback_span_count"),
+        "matched", *[c for c in ("source_file", "section") if c in done.columns],
+    )
+
+
+def spans(done: DataFrame, profile: TextProfile = HAN_CORPUS) -> DataFrame:
+    """Fallback spans of the sections of marked() that have a partner."""
+    return fallback_spans(done.where("matched"), profile)
+
+
+def punctuate(a: DataFrame, b: DataFrame, profile: TextProfile = HAN_CORPUS) -> tuple[DataFrame, DataFrame]:
+    """(punctuated sections, fallback spans) of sections a with the marks of b; each runs the matcher."""
+    done = marked(a, b, profile)
+    return punctuated(done, profile), spans(done, profile)
 
 
 def fallback_statistics(spans: DataFrame) -> DataFrame:
+    """(type, n, chars) of the spans by type; a type without spans gives no row."""
     return spans.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.col("k_end") - F.col("k_start")).alias("chars")).orderBy("type")
 
 

@@ -1,4 +1,4 @@
-"""The three chains of the engine, each one lazy plan from readers to results."""
+"""The three chains of the engine.  What several results of one chain read is written to the shared folder once."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from collatio.operators import align, letters, parse, reports, segment, transfer
 from collatio.profiles import HAN_CORPUS, HAN_LETTERS, TextProfile
 from collatio.sources import readers
+from collatio.storage import materialised
 
 
 @dataclass
@@ -20,8 +21,8 @@ class Collation:
 
 
 def collate(a: DataFrame, b: DataFrame, profile: TextProfile = HAN_CORPUS) -> Collation:
-    """Two parsed witnesses -> agreement report."""
-    aligned = align.align(a, b, profile)
+    """Two parsed witnesses -> agreement report; the matcher runs once, before this returns."""
+    aligned = materialised(align.align(a, b, profile))
     return Collation(aligned, align.summary(aligned), align.mismatches(aligned, profile), align.unmatched(a, b))
 
 
@@ -33,9 +34,10 @@ class Corpus:
 
 
 def corpus(a: DataFrame, b: DataFrame, profile: TextProfile = HAN_CORPUS) -> Corpus:
-    """Two parsed witnesses -> punctuated sections -> annotated sentences."""
-    marked, spans = transfer.punctuate(a, b, profile)
-    return Corpus(marked, spans, reports.annotate(segment.corpus_sentences(marked, profile), profile=profile))
+    """Two parsed witnesses -> punctuated sections -> annotated sentences; the matcher runs once, before this returns."""
+    done = materialised(transfer.marked(a, b, profile))
+    sections = transfer.punctuated(done, profile)
+    return Corpus(sections, transfer.spans(done, profile), reports.annotate(segment.corpus_sentences(sections, profile), profile=profile))
 
 
 def read_witnesses(spark: SparkSession, marked_path: str, tei_path: str, profile: TextProfile = HAN_CORPUS) -> tuple[DataFrame, DataFrame]:

@@ -5,13 +5,15 @@ from __future__ import annotations
 HEADINGS = "array<struct<level:int,text:string>>"
 BYLINES = "array<struct<raw:string>>"
 
+#: source_file and section are a section's place: sections follow each other in this order.
 SECTION = (
     f"juan_num int, juan_label string, file_name string, source string, headings {HEADINGS}, paragraphs array<string>, "
-    f"paragraphs_raw array<string>, paragraphs_byline {BYLINES}, raw_concat string"
+    f"paragraphs_raw array<string>, paragraphs_byline {BYLINES}, raw_concat string, source_file string, section long"
 )
 PUNCTUATED = (
     f"juan_num int, juan_label string, file_name string, headings {HEADINGS}, paragraphs_plain array<string>, "
-    f"paragraphs_punctuated array<string>, paragraphs_provenance array<string>, paragraphs_byline {BYLINES}, fallback_span_count int, matched boolean"
+    f"paragraphs_punctuated array<string>, paragraphs_provenance array<string>, paragraphs_byline {BYLINES}, fallback_span_count int, matched boolean, "
+    "source_file string, section long"
 )
 OPCODES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
 SENTENCE = (
