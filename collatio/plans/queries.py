@@ -6,13 +6,15 @@ the Han ones; the operators are the same.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collatio.functions import text as T
-from collatio.operators import align, parse, reports, segment, transfer
+from collatio.operators import align, parse, reports, segment
+from collatio.plans import corpora, witnesses
 from collatio.profiles import LATIN
 from collatio.sources import readers
+from collatio.storage import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as paragraphs, numbered from 1."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     parts = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("k", "para"))
     return parts.select("doc_id", "lang", "source", (F.col("k") + 1).alias("paragraph_idx"), "para")
 
@@ -61,7 +63,8 @@ def skipped_pieces(spark, sf_dir):
 
 
 def sentence_ids(spark, sf_dir):
-    rows = segment.number_globally(_sentences(spark, sf_dir), ["doc_id"], ["paragraph_idx", "sentence_idx"])
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = segment.number_sentences(docs, ["doc_id"], F.split("text", "\n"), LATIN)
     return rows.select("doc_id", "paragraph_idx", "sentence_idx", F.format_string("S%06d", "seq").alias("sentence_id"), F.format_string("%s#p%03d", F.col("doc_id").cast("string"), "paragraph_idx").alias("utterance_id"))
 
 
@@ -104,7 +107,7 @@ def conditional_summary(spark, sf_dir):
 
 
 def byline_strip(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     # a digit group in parentheses stands for the note; any character is the mark
     marked = docs.select("doc_id", F.regexp_replace("text", r"\((\d{1,6})\)", "($1/)").alias("t"))
     kept, byline = T.trailing_byline(F.col("t"), LATIN, 80)
@@ -116,60 +119,30 @@ def dedupe_repeats(spark, sf_dir):
     return parse.drop_repeats(rows, ["doc_id"])
 
 
-def paragraph_islands(spark, sf_dir):
-    """Short lines open an island; the lines of an island are joined."""
-    rows = _paragraphs(spark, sf_dir).select("doc_id", F.col("paragraph_idx").alias("line_no"), "para")
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    placed = rows.withColumn("island", F.sum((F.length("para") < 40).cast("int")).over(order))
-    parts = F.sort_array(F.collect_list(F.struct("line_no", "para")))
-    return placed.groupBy("doc_id", "island").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), F.array_join(F.transform(parts, lambda p: p["para"]), "").alias("text"))
-
-
 def witness_join(spark, sf_dir):
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     pairs = align.witness_join(align.last_per_label(docs.select("source", "doc_id"), "source", ["doc_id"]), align.last_per_label(labels.join(docs.select("doc_id", "source"), "doc_id"), "source", ["doc_id"]), "source")
     return pairs.select(F.col("a.source").alias("source"), F.col("a.doc_id").alias("a_id"), F.col("b.doc_id").alias("b_id"), F.col("b.quality").alias("quality"))
 
 
-def unmatched_keys(spark, sf_dir):
-    docs, labels = _table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels").select((F.col("doc_id") * 2).alias("doc_id"))
-    return align.unmatched(docs, labels, "doc_id")
-
-
-def inventory_missing(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("doc_id % 7 <> 3").select(F.col("doc_id").cast("int").alias("doc_id"))
-    return parse.missing_numbers(docs, "doc_id", 0, 999)
-
-
-def letters_by_target(spark, sf_dir):
-    """Turns as letters: targets are titles' patterns over roles and volumes."""
-    turns = _table(spark, sf_dir, "conversations")
-    targets = spark.createDataFrame([("first", "user", [0, 2], "(?i)th"), ("second", "assistant", [1, 3], "en")], "target_name string, role string, kwon array<int>, title_pattern string")
-    wanted = targets.select("target_name", F.col("role").alias("_role"), F.explode("kwon").alias("_kwon"), "title_pattern")
-    rows = turns.join(F.broadcast(wanted), (F.col("role") == F.col("_role")) & (F.col("turn") == F.col("_kwon"))).where(F.expr("substring_index(text, ' ', 4) rlike title_pattern"))
-    letters = rows.select("target_name", F.concat_ws("_", "conv_id", "turn").alias("letter_data_id"), "text")
-    found = letters.select("target_name", "letter_data_id", F.explode(segment.sentence_pieces(F.col("text"), LATIN)).alias("s"))
-    return reports.by_target(found.select("target_name", "letter_data_id", F.length("s.text").alias("char_count_raw"), F.length("s.plain").alias("char_count_plain")))
-
-
 def overall_totals(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(F.col("n_chars").alias("char_count_raw"), F.length(T.plain(F.col("text"), LATIN)).cast("long").alias("char_count_plain"))
+    docs = spread(_table(spark, sf_dir, "documents").select("n_chars", "text")).select(F.col("n_chars").alias("char_count_raw"), F.length(T.plain(F.col("text"), LATIN)).cast("long").alias("char_count_plain"))
     return reports.overall(docs, _sentences(spark, sf_dir))
 
 
 def plain_text(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", T.plain(F.col("text"), LATIN).alias("plain"), T.drop_marks_and_separators(F.col("text")).alias("unmarked"), T.without_space(F.col("text")).alias("compact"))
 
 
 def char_counts(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     plain = T.plain(F.col("text"), LATIN)
     return docs.select("doc_id", F.length("text").alias("chars"), F.length(F.replace("text", F.lit("\n"), F.lit(""))).alias("chars_raw"), F.length(plain).alias("chars_plain"), F.substring(plain, 1, 50).alias("first_50"))
 
 
 def line_numbers(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line")).select("doc_id", "line_no", F.length(T.rstrip(F.col("line"))).alias("n"), T.strip(F.col("line")).startswith("T").alias("starts_t"))
 
 
@@ -177,86 +150,6 @@ def page_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", readers.page_text(F.col("html")).alias("text"))
 
 
-def _pairs(spark, sf_dir) -> DataFrame:
-    """Every document with itself without marks on one side, as witnesses by words."""
-    # the matcher costs far more than moving its texts: every core gets some
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-    return docs.select("doc_id", F.col("text").alias("b"), F.regexp_replace(F.regexp_replace("text", r"\b([Tt])he\b", "$1he"), r"\bof\b", "off").alias("a"))
-
-
-def align_opcodes(spark, sf_dir):
-    """Word alignment of each document with a copy of changed words, whole texts."""
-    rows = _pairs(spark, sf_dir).withColumn("ops", align.word_opcodes(False)("a", "b"))
-    return rows.select("doc_id", F.explode("ops").alias("op")).select("doc_id", "op.*")
-
-
-def align_summary(spark, sf_dir):
-    n = lambda c: F.size(F.filter(F.split(c, r"(?U)[\s\x{1c}-\x{1f}]+"), lambda w: w != ""))
-    rows = _pairs(spark, sf_dir).withColumn("ops", align.word_opcodes(False)("a", "b"))
-    strict, relaxed = align.ratios(F.col("ops"), n("a"), n("b"))
-    return rows.select("doc_id", strict.alias("strict_ratio"), relaxed.alias("relaxed_ratio"), F.size(F.filter("ops", align.is_variant)).alias("variant_count"))
-
-
-def align_mismatches(spark, sf_dir):
-    """Character mismatches of the benchmark items with a copy of changed letters."""
-    items = _table(spark, sf_dir, "benchmark")
-    rows = items.select(F.col("item_id").cast("string").alias("juan_label"), F.col("item_id").alias("juan_num"), F.translate("text", "aeq", "oik").alias("a_text"), F.col("text").alias("b_text"))
-    return align.mismatches(rows.withColumn("ops", align.opcodes(True)("a_text", "b_text")), LATIN)
-
-
-def _transferred(spark, sf_dir) -> DataFrame:
-    items = _table(spark, sf_dir, "benchmark")
-    texts = items.select("item_id", F.array(T.plain(F.col("text"), LATIN)).alias("paragraphs"), F.col("text").alias("b_text"))
-    return transfer.transfer(texts, LATIN, ["item_id"])
-
-
-def punctuate_transfer(spark, sf_dir):
-    """Marks of each item given back to its bare letters."""
-    return _transferred(spark, sf_dir).select("item_id", "out_text", F.length(F.regexp_replace("provenance", "[^Z]", "")).alias("marks"), F.length("provenance").alias("n"))
-
-
-def fallback_spans(spark, sf_dir):
-    """Spans without marks where a longer text stands against each item."""
-    items = _table(spark, sf_dir, "benchmark")
-    texts = items.select("item_id", F.array(F.concat(T.plain(F.col("text"), LATIN), F.lit("XXXXXX"))).alias("paragraphs"), F.col("text").alias("b_text"))
-    return transfer.fallback_spans(transfer.transfer(texts, LATIN, ["item_id"]), LATIN, "item_id")
-
-
-def decode_labels(spark, sf_dir):
-    """A mark behind every character that ends a word of the item's letters."""
-    items = _table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"[^a-zA-Z]", "").alias("letters"))
-    places = F.filter(F.sequence(F.lit(1), F.length("letters")), lambda i: F.substring(F.col("letters"), i, F.lit(1)) == "e")
-    preds = F.transform(places, lambda i: F.struct(i.alias("end"), F.when(i % 2 == 0, "B-1").otherwise("B-2").alias("entity")))
-    marks = F.create_map(F.lit("B-1"), F.lit("，"), F.lit("B-2"), F.lit("。"), F.lit("O"), F.lit(""))
-    return items.where("length(letters) > 0").select("item_id", T.apply_predictions(F.col("letters"), preds, marks).alias("text"))
-
-
-def _summaries(spark, sf_dir) -> DataFrame:
-    """Documents as if aligned with their own letters: sizes, ratios and counts."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("a_chars"), F.length(T.plain(F.col("text"), LATIN)).alias("b_plain_chars"))
-    ratio = F.round(F.col("b_plain_chars") / F.greatest(F.col("a_chars"), F.lit(1)), 4)
-    changed = F.col("a_chars") - F.col("b_plain_chars")
-    return docs.select(
-        F.col("doc_id").cast("string").alias("juan_label"), F.col("doc_id").alias("juan_num"), "a_chars", "b_plain_chars",
-        ratio.alias("strict_ratio"), F.sqrt(ratio).alias("relaxed_ratio"),
-        changed.alias("mismatch_count"), F.floor(changed / 3).alias("variant_count"), (changed - F.floor(changed / 3)).alias("substantive_count"),
-    )
-
-
-def alignment_totals(spark, sf_dir):
-    return align.weighted_means(_summaries(spark, sf_dir))
-
-
-def alignment_lowest(spark, sf_dir):
-    return align.lowest(_summaries(spark, sf_dir)).select("juan_label", "juan_num", "a_chars")
-
-
-def mismatch_types(spark, sf_dir):
-    """Line items as mismatches: flags as types, equal quantities as variants."""
-    items = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("type"), (F.col("l_linestatus") == "O").alias("is_variant"))
-    return align.type_distribution(items)
-
-
 def sexagenary_years(spark, sf_dir):
     """Years of annotations that name two years of the cycle."""
     names = F.array(*[F.lit(n) for n in T.SEXAGENARY_YEARS])
@@ -266,7 +159,7 @@ def sexagenary_years(spark, sf_dir):
 
 
 def stage_counters(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = spread(_table(spark, sf_dir, "documents").select("text"))
     sections = docs.select(F.split("text", "\n").alias("paragraphs"), F.col("text").alias("raw_concat"), F.transform(F.split("text", "\n"), lambda p: F.when(p.endswith(")"), F.struct(p.alias("raw")))).alias("paragraphs_byline"))
     return parse.stage_counters(sections)
 
@@ -284,22 +177,15 @@ QUERIES = {
     f.__name__: f
     for f in (
         segment_sentences, skipped_pieces, sentence_ids, annotate_category, category_distribution, length_profile, length_histogram,
-        top_sections, rollup_report, order_rollup, conditional_summary, byline_strip, dedupe_repeats, paragraph_islands, witness_join,
-        unmatched_keys, inventory_missing, letters_by_target, overall_totals, plain_text, char_counts, line_numbers, page_text,
-        align_opcodes, align_summary, align_mismatches, punctuate_transfer, fallback_spans, decode_labels, stage_counters, numerals,
-        alignment_totals, alignment_lowest, mismatch_types, sexagenary_years,
+        top_sections, rollup_report, order_rollup, conditional_summary, byline_strip, dedupe_repeats, witness_join, overall_totals,
+        plain_text, char_counts, line_numbers, page_text, stage_counters, numerals, sexagenary_years,
     )
 }
+QUERIES |= witnesses.QUERIES | corpora.QUERIES
 
 _CATEGORY = "CASE WHEN contains(plain, 'tion') AND contains(plain, 'ment') THEN 'both' WHEN contains(plain, 'tion') THEN 'tion_only' WHEN contains(plain, 'ment') THEN 'ment_only' ELSE 'neither' END"
 _BUCKET = "CASE WHEN char_count <= 3 THEN '1-3' WHEN char_count <= 10 THEN '4-10' WHEN char_count <= 30 THEN '11-30' WHEN char_count <= 60 THEN '31-60' WHEN char_count <= 100 THEN '61-100' ELSE '101+' END"
 
-_SQL_SUMMARIES = r"""
-c AS (SELECT doc_id, n_chars AS a_chars, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS b_plain_chars FROM documents),
-s AS (SELECT doc_id::VARCHAR AS juan_label, doc_id AS juan_num, a_chars, b_plain_chars, round(b_plain_chars::DOUBLE / greatest(a_chars, 1), 4) AS strict_ratio,
-             sqrt(round(b_plain_chars::DOUBLE / greatest(a_chars, 1), 4)) AS relaxed_ratio, a_chars - b_plain_chars AS m, (a_chars - b_plain_chars) // 3 AS v FROM c)
-"""
-
 ORACLE_SQL = {
     "segment_sentences": f"WITH {_SQL_SENTENCES} SELECT doc_id, paragraph_idx, sentence_idx, text, plain, char_count FROM sentences",
     "skipped_pieces": f"WITH {_SQL_SENTENCES} SELECT count(*) AS skipped FROM stripped WHERE plain = '' AND text <> ''",
@@ -330,22 +216,9 @@ ORACLE_SQL = {
     "dedupe_repeats": """WITH paras AS (SELECT doc_id, generate_subscripts(parts, 1) AS line_no, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
         c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, text) AS n, row_number() OVER (PARTITION BY doc_id, text ORDER BY line_no) AS k FROM paras)
         SELECT doc_id, line_no, text FROM c WHERE n < 5 OR k = 1""",
-    "paragraph_islands": """WITH paras AS (SELECT doc_id, generate_subscripts(parts, 1) AS line_no, unnest(parts) AS para FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
-        i AS (SELECT *, sum((length(para) < 40)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM paras)
-        SELECT doc_id, island::BIGINT AS island, min(line_no) AS first_line, count(*) AS n_lines, string_agg(para, '' ORDER BY line_no) AS text FROM i GROUP BY doc_id, island""",
     "witness_join": """WITH a AS (SELECT source, max(doc_id) AS a_id FROM documents GROUP BY source),
         b AS (SELECT source, max(doc_id) AS b_id, arg_max(quality, doc_id) AS quality FROM labels JOIN documents USING (doc_id) GROUP BY source)
         SELECT source, a_id, b_id, quality FROM a JOIN b USING (source)""",
-    "unmatched_keys": """SELECT doc_id, 'a' AS only_in FROM documents WHERE doc_id NOT IN (SELECT doc_id * 2 FROM labels)
-        UNION SELECT doc_id * 2, 'b' FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)""",
-    "inventory_missing": "SELECT r::INT AS doc_id FROM range(1000) t(r) WHERE r NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 3)",
-    "letters_by_target": rf"""WITH targets(target_name, r, k, p) AS (VALUES ('first', 'user', 0, '(?i)th'), ('first', 'user', 2, '(?i)th'), ('second', 'assistant', 1, 'en'), ('second', 'assistant', 3, 'en')),
-        letters AS (SELECT target_name, conv_id || '_' || turn AS id, text FROM conversations JOIN targets ON role = r AND turn = k
-                    WHERE regexp_matches(array_to_string(string_split(text, ' ')[1:4], ' '), p)),
-        pieces AS (SELECT target_name, id, unnest(regexp_extract_all(text, '[^.?!]*[.?!]|[^.?!]+')) AS piece FROM letters),
-        s AS (SELECT target_name, id, regexp_replace(regexp_replace(piece, '^{_SQL_SPACE}+', ''), '{_SQL_SPACE}+$', '') AS t, regexp_replace(piece, '[^\p{{L}}]', '', 'g') AS plain FROM pieces)
-        SELECT target_name, count(*) AS sentences, count(DISTINCT id) AS letters, sum(length(t))::BIGINT AS chars_raw, sum(length(plain))::BIGINT AS chars_plain, avg(length(plain)) AS mean_length
-        FROM s WHERE plain <> '' GROUP BY target_name""",
     "overall_totals": rf"""WITH {_SQL_SENTENCES}, d AS (SELECT count(*) AS letters, sum(n_chars)::BIGINT AS chars_raw, sum(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')))::BIGINT AS chars_plain FROM documents)
         SELECT letters, chars_raw, chars_plain, (SELECT count(*) FROM sentences) AS sentences, chars_plain::DOUBLE / (SELECT count(*) FROM sentences) AS mean_length FROM d""",
     "plain_text": rf"""SELECT doc_id, regexp_replace(text, '[^\p{{L}}]', '', 'g') AS plain, regexp_replace(text, '[\p{{P}}\p{{Z}}]', '', 'g') AS unmarked, regexp_replace(text, '{_SQL_SPACE}+', '', 'g') AS compact FROM documents""",
@@ -356,22 +229,10 @@ ORACLE_SQL = {
         SELECT doc_id, line_no, length(regexp_replace(line, '{_SQL_SPACE}+$', '')) AS n, starts_with(regexp_replace(line, '^{_SQL_SPACE}+', ''), 'T') AS starts_t
         FROM l WHERE NOT (line_no = total - 1 AND line = '')""",
     "page_text": r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""",
-    "punctuate_transfer": r"""WITH t AS (SELECT item_id, regexp_replace(text, '^[^\p{L}]+', '') AS t FROM benchmark)
-        SELECT item_id, t AS out_text, length(regexp_replace(t, '\p{L}', '', 'g')) AS marks, length(t) AS n FROM t""",
-    "fallback_spans": r"""WITH t AS (SELECT item_id, regexp_replace(text, '^[^\p{L}]+', '') AS t, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n FROM benchmark)
-        SELECT item_id, 1 AS op_no, 'delete_large' AS type, n AS k_start, n + 6 AS k_end, 'XXXXXX' AS k_text, '' AS z_text, right(t, 50) AS context_before, '' AS context_after,
-               length(t) AS out_start, length(t) + 6 AS out_end FROM t""",
-    "decode_labels": """WITH l AS (SELECT item_id, regexp_replace(text, '[^a-zA-Z]', '', 'g') AS letters FROM benchmark),
-        c AS (SELECT item_id, unnest(string_split(letters, '')) AS c, generate_subscripts(string_split(letters, ''), 1) AS k FROM l WHERE length(letters) > 0)
-        SELECT item_id, string_agg(c || CASE WHEN c <> 'e' THEN '' WHEN k % 2 = 0 THEN '，' ELSE '。' END, '' ORDER BY k) AS text FROM c GROUP BY item_id""",
     "stage_counters": """WITH p AS (SELECT text, string_split(text, chr(10)) AS parts FROM documents),
         s AS (SELECT count(*) AS records, sum(len(parts))::BIGINT AS paragraphs, sum(length(text))::BIGINT AS chars, sum(len(list_filter(parts, lambda x: ends_with(x, ')'))))::BIGINT AS bylines FROM p)
         SELECT records, paragraphs, chars, bylines, bylines::DOUBLE / paragraphs AS byline_share FROM s""",
-    "alignment_totals": f"""WITH {_SQL_SUMMARIES} SELECT count(*) AS sections, sum(strict_ratio * (a_chars + b_plain_chars)) / sum(a_chars + b_plain_chars) AS strict,
-        sum(relaxed_ratio * (a_chars + b_plain_chars)) / sum(a_chars + b_plain_chars) AS relaxed, sum(a_chars)::BIGINT AS a_chars, sum(b_plain_chars)::BIGINT AS b_chars,
-        sum(m)::BIGINT AS mismatches, sum(v)::BIGINT AS variants, sum(m - v)::BIGINT AS substantive, 100.0 * sum(v) / sum(m) AS variant_pct, 100.0 * sum(m - v) / sum(m) AS substantive_pct FROM s""",
-    "alignment_lowest": f"WITH {_SQL_SUMMARIES} SELECT juan_label, juan_num, a_chars FROM s ORDER BY relaxed_ratio, juan_num LIMIT 5",
-    "mismatch_types": "SELECT l_returnflag AS type, count(*) AS n FROM lineitem WHERE l_linestatus <> 'O' GROUP BY 1",
     "sexagenary_years": "SELECT o_orderkey, CASE WHEN least(o_orderkey % 37, o_custkey % 31) < 30 THEN (1554 + least(o_orderkey % 37, o_custkey % 31))::INT END AS year FROM orders",
     "numerals": "SELECT p_partkey, CASE WHEN p_size = 0 THEN -1 ELSE p_size END AS number FROM part",
 }
+ORACLE_SQL |= witnesses.ORACLE_SQL | corpora.ORACLE_SQL

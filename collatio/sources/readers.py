@@ -223,12 +223,10 @@ def letters(spark: SparkSession, path: str, wanted: DataFrame, known: DataFrame)
     """All letters of the volumes that the targets ask for, from zip archives.
 
     wanted: targets; known: collections.  Only members asked for are read;
-    those that an archive lacks, and archives that are not there, give no row.
+    those that an archive lacks (missing_members tells them), and archives
+    that are not there (missing_archives), give no row.
     """
-    asked: dict[str, list[tuple[str, int, str]]] = {}
-    pairs = wanted.select("munjip", F.explode("kwon").alias("kwon")).distinct().join(known, "munjip")
-    for r in pairs.select("munjip", "kwon", "zip_name", "xml_prefix").collect():  # configuration, a few rows
-        asked.setdefault(r.zip_name, []).append((r.munjip, r.kwon, f"{r.xml_prefix}_{r.kwon:03d}0.xml"))
+    asked = _asked(wanted, known)
     names = [c.split()[0] for c in LETTER_ROWS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,9 +239,37 @@ def letters(spark: SparkSession, path: str, wanted: DataFrame, known: DataFrame)
                             rows = [{"munjip": munjip, "source_zip": name, "source_xml_path": member, "asked_kwon": kwon, **r} for r in letters_of(archive.read(member))]
                             yield pd.DataFrame(rows, columns=names).astype({"asked_kwon": "Int32", "kwon": "Int32", "seq": "Int32"})
 
+    return _archives(spark, path, asked).mapInPandas(run, LETTER_ROWS)
+
+
+def _asked(wanted: DataFrame, known: DataFrame) -> dict[str, list[tuple[str, int, str]]]:
+    """(collection, volume, member) by archive; configuration, a few rows."""
+    asked: dict[str, list[tuple[str, int, str]]] = {}
+    pairs = wanted.select("munjip", F.explode("kwon").alias("kwon")).distinct().join(known, "munjip")
+    for r in pairs.select("munjip", "kwon", "zip_name", "xml_prefix").collect():
+        asked.setdefault(r.zip_name, []).append((r.munjip, r.kwon, f"{r.xml_prefix}_{r.kwon:03d}0.xml"))
+    return asked
+
+
+def _archives(spark: SparkSession, path: str, asked: dict) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
-    return files.where(F.col("file_name").isin(list(asked))).mapInPandas(run, LETTER_ROWS)
+    return files.where(F.col("file_name").isin(list(asked)))
+
+
+def missing_members(spark: SparkSession, path: str, wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """(munjip, kwon, source_zip, source_xml_path) of members asked for that an archive which is there lacks."""
+    asked = _asked(wanted, known)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["file_name"], frame["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    there = set(archive.namelist())
+                rows = [(munjip, kwon, name, member) for munjip, kwon, member in asked.get(name, []) if member not in there]
+                yield pd.DataFrame(rows, columns=["munjip", "kwon", "source_zip", "source_xml_path"]).astype({"kwon": "int32"})
+
+    return _archives(spark, path, asked).mapInPandas(run, "munjip string, kwon int, source_zip string, source_xml_path string")
 
 
 def missing_archives(files: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:

@@ -22,5 +22,5 @@ def test_query(spark, db, name):
 
 
 def test_opcodes_tile_both_sides(spark):
-    for r in QUERIES["align_opcodes"](spark, duck.SF_DIR).groupBy("doc_id").agg({"i2": "max", "i1": "min"}).collect():
+    for r in QUERIES["align_opcodes"](spark, duck.SF_DIR).groupBy("juan_label").agg({"i2": "max", "i1": "min"}).collect():
         assert r["min(i1)"] == 0

@@ -73,16 +73,67 @@ def test_json_csv(spark, tmp_path):
 
 def test_workbook(spark, tmp_path):
     rows = reports.annotate(corpus(spark))
-    summary = reports.conditional_summary(rows, "has_li", "has_qi", "char_count")
     path = str(tmp_path / "w.xlsx")
-    writers.corpus_workbook(path, summary, rows)
+    writers.corpus_workbook(path, rows)
     with zipfile.ZipFile(path) as z:
+        assert z.read("xl/worksheets/sheet1.xml").count(b"<row ") == 13
         for name in z.namelist():
             ElementTree.fromstring(z.read(name))
         assert z.read("xl/worksheets/sheet2.xml").count(b"<row ") == 6
         assert z.read("xl/worksheets/sheet3.xml").count(b"<row ") == 3
 
 
+def test_letters_workbook(spark, tmp_path):
+    letters = spark.createDataFrame([("d1", "m", 16, 1, "t", None, None, "A", "x", 10, 8, "f"), ("d2", "m", 17, 1, "t", "己未", 1559, "A", "x", 20, 15, "f"), ("d3", "n", 1, 1, "t", None, None, "", "y", 5, 5, "f")], "data_id string, munjip string, kwon int, seq int, title string, annotation string, inferred_year int, sender_label string, target_name string, char_count_raw int, char_count_plain int, body_first_50 string")
+    sentences = spark.createDataFrame([("s1", "d1", 16, None, "A", "x", 1, 1, 1, 8, "甲", "甲"), ("s2", "d2", 17, 1559, "A", "x", 1, 1, 1, 15, "乙", "乙"), ("s3", "d2", 17, 1559, "A", "x", 1, 2, 2, 5, "丙", "丙")], "sentence_id string, letter_data_id string, kwon int, letter_year int, sender_label string, target_name string, para_idx int, sent_idx_in_para int, sent_idx_in_letter int, char_count_plain int, sent_text string, sent_text_plain string")
+    lines = writers.letters_summary_rows(letters, sentences, ("a note",))
+    assert lines[1:7] == [["총계"], ["Letter 편수", 3], ["문장 수 (sentence)", 3], ["총 글자 수 (표점 포함, raw)", 35], ["총 글자 수 (백문, plain)", 28], ["평균 문장 길이 (백문)", 9.33]]
+    assert lines[9:16] == [["Target별 분포"], writers.BLOCKS_SHEET, ["x", "권16", 1, 10, 8, None], ["x", "권17", 1, 20, 15, None], ["x", "합계", 2, 30, 23, 3], [], ["y", "권1", 1, 5, 5, None]] 
+    assert lines[-2:] == [["참고"], ["a note"]]
+    path = str(tmp_path / "l.xlsx")
+    writers.letters_workbook(path, letters, sentences, "Title", ("a note",))
+    with zipfile.ZipFile(path) as z:
+        for name in z.namelist():
+            ElementTree.fromstring(z.read(name))
+        assert [z.read(f"xl/worksheets/sheet{k}.xml").count(b"<row ") for k in (2, 3)] == [4, 4]
+
+
+def test_report_files_previews_and_metadata(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0, 1559), ("b,\n", None, 0)], "x string, y int, year int")
+    writers.csv_file(df, str(tmp_path / "r.csv"), ["year", "x", "z", "y"], empty_zeros=("year",))
+    assert (tmp_path / "r.csv").read_bytes().decode("utf-8") == '\ufeffyear,x,z,y\r\n1559,a,,0\r\n,"b,\n",,\r\n'
+    with pytest.raises(FileNotFoundError):
+        writers.single(str(tmp_path / "nowhere"), str(tmp_path / "x.csv"))
+    first, more = writers.preview(df, ["x"], 1)
+    assert ([r.x for r in first], more) == ((["a"], 1) if first[0].x == "a" else (["b,\n"], 1))
+    assert writers.preview(df, ["x"]) [1] == 0
+    writers.metadata(str(tmp_path / "m.json"), n=1, name="理")
+    assert json.loads((tmp_path / "m.json").read_text("utf-8")) == {"n": 1, "name": "理"}
+    writers.csv(df, str(tmp_path / "c"), ["x", "year"], empty_zeros=("year",))
+    assert {r.year for r in spark.read.csv(str(tmp_path / "c"), header=True, multiLine=True).collect()} == {"1559", None}
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from collatio.functions.numbers import round_even
+
+    rng = random.Random(1)
+    values = [0.15, 2.675, 2.25, 0.03125, -0.15, 0.0, None, 1e-9, 123456.78905, 1e9 + 0.05] + [rng.randint(0, 40000) / 20000 for _ in range(500)] + [rng.random() * 10 ** rng.randint(-5, 5) for _ in range(300)] + [k / 640 for k in range(500)]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for digits in (1, 2, 4):
+        for r in df.select("x", round_even(F.col("x"), digits).alias("y")).collect():
+            assert r.y == (None if r.x is None else round(r.x, digits)), r
+
+
+def test_summaries_of_nothing(spark):
+    none = spark.createDataFrame([], "has_li boolean, has_qi boolean, char_count int")
+    assert [r.value for r in reports.corpus_summary(none).collect()] == [0.0] * 7 + [None] * 5
+    assert reports.bar is not None and spark.range(1).select(reports.bar(reports.F.lit(0.5), 4).alias("b")).first().b == "██"
+
+
 def test_provenance(spark, tmp_path):
     rows = [("t", 1, 2, "id2", "b", None, None, 1000), ("t", 1, 1, "id1", "a", "己未", 1559, 5)]
     writers.provenance(spark.createDataFrame(rows, "target_name string, kwon int, seq int, data_id string, title string, annotation string, inferred_year int, char_count_plain int"), str(tmp_path / "p.md"))
