@@ -1,74 +1,82 @@
 """Licence recognition by sentences and ordered rules, in SQL functions alone.
 
-A text is cut into sentences, which may be wrapped over lines and commented
-out (a sentence that is not known is tried by clauses and lines), each brought to a normal form (A-Z lower-cased,
-everything but letters a-z and digits as one blank) and looked up among the
-known licence sentences.  The identifiers found, in order, are the text's
-sequence; a rule is met where its own identifiers stand next to each other in
-that sequence (sentences that are not known may lie between).  All of it is
-work on one row, so nothing is shuffled and no row depends on another.
+A text is cut into sentences, which may be wrapped over lines, commented out
+and listed; a sentence that is not known is tried by clauses, and a clause by
+lines.  Each is brought to a normal form (A-Z lower-cased, everything but
+letters a-z and digits as one blank) and looked up among the known licence
+sentences.  The identifiers found, in order, are the text's sequence.  Rules
+are runs of identifiers (sentences that are not known may lie between); the
+sequence is read from its start, the longest rule that fits is met there and
+its identifiers are used up.  All of it is work on one row, so nothing is
+shuffled and no row depends on another.
+
+Every known sentence holds one of a few words, so a text that holds none of
+them is not cut at all.
+
+The sentences are those of license_rules.json, and families made by rule:
+licence lines, SPDX lines and Creative Commons notices.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Normal forms of sentences of well-known licences and notices.
-SENTENCES: list[tuple[int, str]] = [
-    (1, "this work is licensed under the gnu general public license version 3"),
-    (2, "licensed under cc by nc 4 0"),
-    (3, "released under the mit license"),
-    (4, "licensed under the apache license version 2 0"),
-    (10, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
-    (11, "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    (12, "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
-    (20, "licensed under the apache license version 2 0 the license"),
-    (21, "you may not use this file except in compliance with the license"),
-    (22, "you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    (30, "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    (31, "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
-    (32, "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
-    (40, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    (41, "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    (42, "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    (43, "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    (50, "spdx license identifier mit"),
-    (51, "spdx license identifier apache 2 0"),
-    (52, "spdx license identifier gpl 3 0 or later"),
-    (53, "spdx license identifier bsd 3 clause"),
-    (60, "this work is licensed under a creative commons attribution 4 0 international license"),
-    (61, "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-]
-
-#: (rule, licence, identifiers in order); longer rules before their parts.
-RULES: list[tuple[str, str, tuple[int, ...]]] = [
-    ("bsd-3-text", "BSD-3-Clause", (40, 41, 42, 43)),
-    ("bsd-2-text", "BSD-2-Clause", (40, 41, 42)),
-    ("mit-text", "MIT", (10, 11, 12)),
-    ("mit-grant", "MIT", (10, 11)),
-    ("apache-notice", "Apache-2.0", (20, 21, 22)),
-    ("gpl-3-notice", "GPL-3.0-or-later", (30, 32)),
-    ("gpl-2-notice", "GPL-2.0-or-later", (31, 32)),
-    ("gpl-3-line", "GPL-3.0-only", (1,)),
-    ("cc-by-nc-line", "CC-BY-NC-4.0", (2,)),
-    ("mit-line", "MIT", (3,)),
-    ("apache-line", "Apache-2.0", (4,)),
-    ("mit-spdx", "MIT", (50,)),
-    ("apache-spdx", "Apache-2.0", (51,)),
-    ("gpl-3-spdx", "GPL-3.0-or-later", (52,)),
-    ("bsd-3-spdx", "BSD-3-Clause", (53,)),
-    ("cc-by-text", "CC-BY-4.0", (60,)),
-    ("cc-by-nc-text", "CC-BY-NC-4.0", (61,)),
-]
-
-#: Ends of sentences; single newlines are no ends, nor is the blank line before the address of the Apache notice.
-_SENTENCE = r"[.!?]+(?:[ \t\r\n]+|$)|:[ \t]*\n|(?<!License at)\n[ \t]*\n"
-#: Comment leaders and carriage returns.
-_LEADER = r"(?m)\r(?=\n)|^[ \t]*(?:/?[*]+/?|//+|#+|;+|--)[ \t]*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _plain(sentence: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", sentence.translate(str.maketrans(_UPPER, _LOWER))).strip()
+
+
+def _load() -> tuple[list[tuple[int, str]], list[tuple[str, str, tuple[int, ...]]]]:
+    """(identifier, normal form) of the sentences; (rule, licence, identifiers), longer rules first."""
+    with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_rules.json"), encoding="utf-8") as f:
+        known = json.load(f)
+    sentences = {_plain(s): int(i) for i, s in known["sentences"].items()}
+    rules = [(name, licence, tuple(ids)) for name, licence, ids in known["rules"]]
+
+    def family(first: int, each) -> None:
+        for k, (sentence, rule, licence) in enumerate(each):
+            if _plain(sentence) not in sentences:
+                sentences[_plain(sentence)] = first + k
+                rules.append((rule, licence, (first + k,)))
+
+    lines = known["lines"]
+    family(100, ((f"{verb} {name}", f"{licence.lower()}-line", licence) for licence, name in lines["names"] for verb in lines["verbs"]))
+    family(300, ((f"SPDX-License-Identifier: {i}", f"{i.lower()}-spdx", i) for i in known["spdx"]))
+    cc = known["creative_commons"]
+    family(400, ((f"This work is licensed under a Creative Commons {name} {v} {scope} License", f"cc-{kind.lower()}-{v}-notice", f"CC-{kind}-{v}") for kind, name in cc["kinds"] for v, scope in cc["versions"]))
+    return [(i, s) for s, i in sentences.items()], sorted(rules, key=lambda r: -len(r[2]))
+
+
+SENTENCES, RULES = _load()
+
+#: Comment leaders and list marks at the start of a line.
+_LEADER = r"^[ \t]*(?:<!--|/?[*]+/?|//+|#+|;+|--+|%+|>+)[ \t]*"
+_MARK = r"^[ \t]*[(]?[0-9a-zA-Z]{1,2}[)][ \t]+"
+#: The blank line before the address in a notice, which ends no sentence.
+_ADDRESS = r"(License at)[ \t]*\n[ \t]*\n[ \t]*(http)"
+#: Ends of sentences; single newlines are no ends.  Then of clauses, and of lines.
+_SENTENCE = r"[.!?]+(?:[ \t\n]+|$)|:[ \t]*\n|\n[ \t]*\n"
+_CLAUSE, _LINE = r";[ \t\n]+", r"\n+"
+
+
+def telling_words(sentences: list[tuple[int, str]]) -> list[str]:
+    """Words of which every sentence holds one: those that most hold, of them the longest."""
+    left, out = [s for _, s in sentences], []
+    while left:
+        # long words are rarer in other texts
+        words = {w for s in left for w in s.split()}
+        out.append(max(words, key=lambda w: (sum(w in s for s in left) * (len(w) >= 7), len(w), w)))
+        left = [s for s in left if out[-1] not in s]
+    return out
+
+
 def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), "[^a-z0-9]+", " "))
 
@@ -78,40 +86,55 @@ def identifiers(text: Column, sentences: list[tuple[int, str]] = SENTENCES) -> C
     ids = F.array(*[F.lit(i) for i, _ in sentences])
     known = F.array(*[F.lit(s) for _, s in sentences])
     shortest = min(len(s) for _, s in sentences)
-    look = lambda s: F.array_position(known, normal(s))
-    # a piece is no shorter than its normal form: most are gone before the costly part
-    cut = lambda s, ends: F.filter(F.split(s, ends), lambda x: F.length(x) >= shortest)
-
-    def within(piece, ends):
-        """The place of the whole piece, else those of its parts."""
-        rest = F.flatten(F.transform(cut(piece, ends[0]), lambda s: within(s, ends[1:]))) if ends else F.slice(F.array(look(piece)), 1, 0)
-        return F.when(look(piece) > 0, F.array(look(piece))).otherwise(rest)
-
-    # a sentence over several lines, else its clauses, else single lines
-    pieces = cut(F.regexp_replace(text, _LEADER, ""), _SENTENCE)
-    places = F.flatten(F.transform(pieces, lambda s: within(s, [r";[ \t\n]+", r"\n+"])))
+
+    def looked_up(text: Column, ends: str) -> Column:
+        """Pieces with their place among the known; none is shorter than its normal form."""
+        long = F.filter(F.split(text, ends), lambda x: F.length(x) >= shortest)
+        return F.transform(long, lambda x: F.struct(x.alias("piece"), F.array_position(known, normal(x)).alias("at")))
+
+    def within(text: Column, ends: list[str]) -> Column:
+        """Places in order; a piece that is not known is cut further."""
+        if len(ends) == 1:
+            return F.transform(looked_up(text, ends[0]), lambda x: x["at"])
+        return F.flatten(F.transform(looked_up(text, ends[0]), lambda x: F.when(x["at"] > 0, F.array(x["at"])).otherwise(within(x["piece"], ends[1:]))))
+
+    lines = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    bare = F.regexp_replace(F.regexp_replace(lines, f"(?md){_LEADER}", ""), f"(?md){_MARK}", "")
+    whole = F.regexp_replace(bare, _ADDRESS, "$1 $2")
+    places = within(whole, [f"(?d){_SENTENCE}", _CLAUSE, _LINE])
     return F.transform(F.filter(places, lambda p: p > 0), lambda p: F.element_at(ids, p.cast("int")))
 
 
+def _written(ids: tuple[int, ...]) -> str:
+    return "".join(f"L{i}," for i in ids)
+
+
 def scan(docs: DataFrame, sentences: list[tuple[int, str]] = SENTENCES, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, identifiers, rules, licences, licensed) for every row.
 
     identifiers, rules and licences are comma-separated texts: identifiers in
-    the order of the text, rules in the order of the table without those that
-    are part of another rule met, licences sorted and distinct; all are empty
-    where nothing is met, as for null and empty texts.  Repeated rows and null
-    ids stay; an empty table gives an empty table.
+    the order of the text, rules one for each time that one is met, in order,
+    licences sorted and distinct; all are empty where nothing is met, as for
+    null and empty texts.  Where two rules are equally long the first of the
+    list is met.  Repeated rows and null ids stay; an empty table gives an
+    empty table.
     """
-    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    found = slim.select("_id", F.concat(F.lit(","), F.array_join(F.transform(identifiers(F.col("_text"), sentences), lambda i: i.cast("string")), ","), F.lit(",")).alias("seq"))
-    table = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("licence"), F.lit("," + ",".join(map(str, ids)) + ",").alias("seq")) for name, licence, ids in rules])
-    met = F.filter(table, lambda r: F.col("seq").contains(r["seq"]))
-    found = found.select("_id", "seq", F.when(F.col("seq") == ",,", F.slice(table, 1, 0)).otherwise(met).alias("met"))
-    whole = F.filter(F.col("met"), lambda r: ~F.exists(F.col("met"), lambda o: (o["seq"] != r["seq"]) & o["seq"].contains(r["seq"])))
-    found = found.select("_id", "seq", whole.alias("met"))
+    rules = sorted(rules, key=lambda r: -len(r[2]))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.lower(text).alias("_low"))
+    told = F.lit(False)
+    for word in telling_words(sentences):
+        told = told | F.col("_low").contains(word)
+    held = F.when(told, F.transform(identifiers(F.col("_text"), sentences), lambda i: F.concat(F.lit("L"), i.cast("string"), F.lit(","))))
+    found = slim.select("_id", F.array_join(F.coalesce(held, F.array().cast("array<string>")), "").alias("seq"))
+    forms = F.array(*[F.lit(_written(ids)) for *_, ids in rules])
+    table = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("licence")) for name, licence, _ in rules])
+    pattern = "|".join(dict.fromkeys(_written(ids) for *_, ids in rules))
+    met = F.transform(F.regexp_extract_all("seq", F.lit(f"({pattern})"), F.lit(1)), lambda m: F.element_at(table, F.array_position(forms, m).cast("int")))
+    found = found.select("_id", "seq", F.when(F.col("seq") == "", F.slice(table, 1, 0)).otherwise(met).alias("met"))
     return found.select(
         F.col("_id").alias(id_col),
-        F.expr("trim(BOTH ',' FROM seq)").alias("identifiers"),
+        F.expr("trim(BOTH ',' FROM replace(seq, 'L', ''))").alias("identifiers"),
         F.array_join(F.transform("met", lambda r: r["rule"]), ",").alias("rules"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("met", lambda r: r["licence"]))), ",").alias("licences"),
         (F.size("met") > 0).alias("licensed"),
@@ -120,27 +143,33 @@ def scan(docs: DataFrame, sentences: list[tuple[int, str]] = SENTENCES, rules=RU
 
 def _sql() -> str:
     known = ", ".join(f"('{s}', {i})" for i, s in SENTENCES)
-    rules = ", ".join(f"({n}, '{name}', '{licence}', ',{','.join(map(str, ids))},')" for n, (name, licence, ids) in enumerate(RULES))
+    rules = ", ".join(f"('{name}', '{licence}', '{_written(ids)}')" for name, licence, ids in RULES)
+    pattern = "|".join(dict.fromkeys(_written(ids) for *_, ids in RULES))
+    e = lambda p: p.replace("'", "''")
+    plain = f"trim(regexp_replace(translate(piece, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+    level = lambda n, source, keys, ends: f"""
+cut{n} AS (SELECT {keys}, generate_subscripts(p, 1) AS p{n}, unnest(p) AS piece FROM (SELECT {keys}, regexp_split_to_array(piece, '{e(ends)}') AS p FROM {source})),
+at{n} AS (SELECT cut{n}.*, id FROM cut{n} LEFT JOIN known ON known.sentence = {plain}),"""
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
-rules(n, rule, licence, seq) AS (VALUES {rules}),
+rules(rule, licence, form) AS (VALUES {rules}),
 rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS txt FROM documents),
-pieces AS (
-  SELECT r, generate_subscripts(parts, 1) AS pos, unnest(parts) AS part
-  FROM (SELECT r, regexp_split_to_array(txt, '[.!?]+(?:[ \\t\\r\\n]+|$)|\\n+') AS parts FROM rows)),
-normal AS (
-  SELECT r, pos, trim(regexp_replace(translate(part, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM pieces),
-found AS (
-  SELECT r, ',' || string_agg(id::VARCHAR, ',' ORDER BY pos) || ',' AS seq
-  FROM normal JOIN known USING (sentence) GROUP BY r),
-met AS (
-  SELECT r, n, rule, licence, rules.seq AS seq FROM found JOIN rules ON contains(found.seq, rules.seq)),
-whole AS (
-  SELECT * FROM met m WHERE NOT EXISTS (
-    SELECT 1 FROM met o WHERE o.r = m.r AND o.seq <> m.seq AND contains(o.seq, m.seq))),
+lines AS (SELECT r, replace(replace(txt, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM rows),
+bare AS (SELECT r, regexp_replace(regexp_replace(t, '(?m){e(_LEADER)}', '', 'g'), '(?m){e(_MARK)}', '', 'g') AS t FROM lines),
+whole AS (SELECT r, regexp_replace(t, '{e(_ADDRESS)}', '\\1 \\2', 'g') AS piece FROM bare),
+{level(1, "whole", "r", _SENTENCE)}
+{level(2, "(SELECT * FROM at1 WHERE id IS NULL)", "r, p1", _CLAUSE)}
+{level(3, "(SELECT * FROM at2 WHERE id IS NULL)", "r, p1, p2", _LINE)}
+every AS (
+  SELECT r, p1, 0 AS p2, 0 AS p3, id FROM at1 WHERE id IS NOT NULL UNION ALL
+  SELECT r, p1, p2, 0, id FROM at2 WHERE id IS NOT NULL UNION ALL
+  SELECT r, p1, p2, p3, id FROM at3 WHERE id IS NOT NULL),
+found AS (SELECT r, string_agg('L' || id || ',', '' ORDER BY p1, p2, p3) AS seq FROM every GROUP BY r),
+runs AS (SELECT r, generate_subscripts(m, 1) AS k, unnest(m) AS form FROM (SELECT r, regexp_extract_all(seq, '{pattern}') AS m FROM found)),
 named AS (
-  SELECT r, string_agg(rule, ',' ORDER BY n) AS rules, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM whole GROUP BY r)
-SELECT doc_id, coalesce(trim(seq, ','), '') AS identifiers, coalesce(rules, '') AS rules,
+  SELECT r, string_agg(rule, ',' ORDER BY k) AS rules, array_to_string(list_sort(list_distinct(list(licence))), ',') AS licences
+  FROM runs JOIN rules USING (form) GROUP BY r)
+SELECT doc_id, coalesce(rtrim(replace(seq, 'L', ''), ','), '') AS identifiers, coalesce(rules, '') AS rules,
        coalesce(licences, '') AS licences, rules IS NOT NULL AS licensed
 FROM rows LEFT JOIN found USING (r) LEFT JOIN named USING (r)
 """

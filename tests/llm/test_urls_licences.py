@@ -45,6 +45,17 @@ def test_many_rules_and_none(spark):
     assert U.judge(pages.limit(0), rules).count() == 0
 
 
+def test_hosts_of_many_labels_and_hot_urls(spark, monkeypatch):
+    from collatio.llm import common
+
+    monkeypatch.setattr(common, "HOT_PARTS", 5)
+    urls = ["http://" + "." * 100_000 + "net/fr/", "http://" + "a." * 50_000 + "example.com/en/"] + ["http://x.com/1"] * 40 + [None] * 40 + ["http://b.net/es/2"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(U.QUERY_RULES, "host string, path string, verdict string")
+    got = sorted(tuple(r) for r in U.judge(pages, rules).collect())
+    assert got == [(i, *judged(u, U.QUERY_RULES)) for i, u in enumerate(urls)]
+
+
 def test_bloom_has_no_false_negative():
     bloom = U.BlockedBloom.empty(64)
     forms = [f"f{i}".encode() for i in range(1000)]
@@ -74,6 +85,64 @@ def test_licences(spark):
     assert L.scan(docs.limit(0)).count() == 0
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MPL = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n"
+
+
+def test_usual_layouts_and_both_of_two_licences(spark):
+    """A licence that is part of another counts where it stands by itself; rows as in the SQL."""
+    import duckdb
+
+    texts = [
+        (BSD, "bsd-2-text", "BSD-2-Clause"),
+        (BSD + THIRD, "bsd-3-text", "BSD-3-Clause"),
+        (BSD + THIRD + "\nOther files:\n\n" + BSD, "bsd-3-text,bsd-2-text", "BSD-2-Clause,BSD-3-Clause"),
+        (BSD.replace("1.", "(a)").replace("2.", "b)"), "bsd-2-text", "BSD-2-Clause"),
+        (BSD.replace("1.", "*").replace("2.", "*"), "bsd-2-text", "BSD-2-Clause"),
+        (GPL, "gpl-3-notice", "GPL-3.0-or-later"),
+        ("// " + GPL.replace("\n", "\n// "), "gpl-3-notice", "GPL-3.0-or-later"),
+        (MPL, "mpl-2-notice", "MPL-2.0"),
+        ("Released under the MIT License\r\nReleased under the MIT License; SPDX-License-Identifier: CC0-1.0", "mit-line,mit-line,cc0-1.0-spdx", "CC0-1.0,MIT"),
+        ("licensed under a license that nobody knows", "", ""),
+        ("\u212ailled. Licensed under the ISC License\u0085 x", "", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(texts)], "doc_id long, text string")
+    got = [tuple(r) for r in L.scan(docs).orderBy("doc_id").collect()]
+    assert [(r[2], r[3]) for r in got] == [(a, b) for _, a, b in texts]
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    assert db.sql(L.ORACLE_SQL + " ORDER BY doc_id").fetchall() == got
+
+
+def test_words_tell_every_sentence():
+    words = L.telling_words(L.SENTENCES)
+    assert all(any(w in s for w in words) for _, s in L.SENTENCES) and min(map(len, words)) >= 7
+
+
 def test_wrapped_notices(spark):
     import textwrap
 
