@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,12 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatio.llm.common import null_safe, open_fs, shared_dir
+from collatio.llm.common import cut, join_counted, narrow, open_fs, shared_dir
 
 #: Bytes that the trie of one task may hold before it spills.
-TRIE_BYTES = 128 << 20
+TRIE_BYTES = 64 << 20
 #: Bytes of text that a task combines before shuffling.
-COMBINE_BYTES = 32 << 20
+COMBINE_BYTES = 16 << 20
+#: Bytes of text taken at once.
+SLICE_BYTES = 4 << 20
+#: Bytes that a spilled subtree collects before they go to the shared folder.
+SEGMENT_BYTES = 1 << 20
 _NODE_BYTES = 300
 _BATCH_ROWS = 4096
 
@@ -176,23 +181,33 @@ def _record(key: bytes, held: Held) -> bytes:
 
 
 class _SharedFile:
-    """A spill file in the shared folder."""
+    """A spilled subtree in the shared folder: segments, none of them kept open."""
 
     def __init__(self, folder: str):
         self._fs, root = open_fs(folder)
         self._path = f"{root}/trie-{uuid.uuid4().hex}"
         self._fs.create_dir(root, recursive=True)
-        self._out = self._fs.open_output_stream(self._path)
-        self.write = self._out.write
+        self._held, self._size, self._segments = [], 0, 0
+
+    def write(self, record: bytes) -> None:
+        self._held.append(record)
+        self._size += len(record)
+        if self._size > SEGMENT_BYTES:
+            with self._fs.open_output_stream(f"{self._path}-{self._segments}") as out:
+                out.write(b"".join(self._held))
+            self._held, self._size, self._segments = [], 0, self._segments + 1
 
     def read(self) -> Iterator[tuple[bytes, Held]]:
-        self._out.close()
         head = struct.calcsize("<Q?qqq")
-        with self._fs.open_input_stream(self._path) as source:
-            while len(raw := source.read(head)) == head:
-                size, null, best, rows, mine = struct.unpack("<Q?qqq", raw)
-                yield source.read(size), (None if null else best, rows, mine)
-        self._fs.delete_file(self._path)
+        for k in range(self._segments):
+            with self._fs.open_input_stream(f"{self._path}-{k}") as source:
+                while len(raw := source.read(head)) == head:
+                    size, null, best, rows, mine = struct.unpack("<Q?qqq", raw)
+                    yield source.read(size), (None if null else best, rows, mine)
+            self._fs.delete_file(f"{self._path}-{k}")
+        for record in self._held:
+            _, null, best, rows, mine = struct.unpack_from("<Q?qqq", record)
+            yield record[head:], (None if null else best, rows, mine)
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -225,15 +240,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
                 )
 
         for batch in batches:
-            for doc_id, size, code, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (known := seen.get(text)) is None:
-                    seen[text] = [size, code, (doc_id, 1, 1)]
-                    held_bytes += size + _NODE_BYTES
-                    if held_bytes > combine_bytes:
-                        yield from flush()
-                        held_bytes = 0
-                else:
-                    known[2] = merge(known[2], (doc_id, 1, 1), largest)
+            for part in narrow(batch, SLICE_BYTES):
+                for doc_id, text, size, code in zip(*(c.to_pylist() for c in part.columns)):
+                    if (known := seen.get(text)) is None:
+                        seen[text] = [size, code, (doc_id, 1, 1)]
+                        held_bytes += size + _NODE_BYTES
+                        if held_bytes > combine_bytes:
+                            yield from flush()
+                            held_bytes = 0
+                    else:
+                        known[2] = merge(known[2], (doc_id, 1, 1), largest)
         yield from flush()
 
     def insert(batches):
@@ -250,20 +266,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(code, pa.int64()), pa.array(sha, pa.string()), pa.array(best, pa.int64()), pa.array(n, pa.int64()), pa.array(mine, pa.int64())], names=names)
 
-        digests: set[bytes] = set()
+        digests = array("Q")  # of each text 16 bytes: no two texts of a partition share a sha-256
         for key, held in trie.items():
             digest = hashlib.sha256(key)
-            if digest.digest() in digests:
-                raise ValueError("two texts of one length and hash share a sha-256")
-            digests.add(digest.digest())
+            digests.frombytes(digest.digest()[:16])
             code = np.uint64(xxhash.xxh64_intdigest(key, 42)).astype(np.int64)
             out.append((len(key), int(code), digest.hexdigest(), *held))
             if len(out) >= _BATCH_ROWS:
                 yield pack()
         if out:
             yield pack()
-
-    rows = _columns(docs, id_col, text_col).select("id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"), "text")
+        pairs = np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2)
+        first = np.sort(pairs[:, 0])
+        twice = first[1:][first[1:] == first[:-1]]
+        if len(twice):
+            alike = pairs[np.isin(pairs[:, 0], twice)]
+            if len(np.unique(alike, axis=0)) < len(alike):
+                raise ValueError("two texts share a sha-256")
+
+    rows = _columns(docs, id_col, text_col).select("id", "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))
     partial = rows.mapInArrow(combine, "size int, hash long, text string, best long, n long, mine long")
     dealt = partial.repartition("size", "hash")
     return dealt.mapInArrow(insert, "size int, hash long, sha string, keep_id long, n_rows long, n_keep long")
@@ -277,15 +298,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     where the group has no other; of rows repeated with that same id and text
     one is kept; group_size counts rows.  An empty table gives an empty table.
     """
-    found = groups(docs, id_col, text_col, keep, trie_bytes)
-    rows = (
+    found = cut(groups(docs, id_col, text_col, keep, trie_bytes), slim=True)
+    rows = cut(
         _columns(docs, id_col, text_col)
         .select("id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"), F.sha2("text", 256).alias("sha"))
         .groupBy("id", "size", "hash", "sha")
-        .agg(F.count("*").alias("copies"))
+        .agg(F.count("*").alias("copies")),
+        slim=True,
     )
-    # the hot side (one group may hold a third of all rows) is the split side of the join
-    joined = rows.join(found.hint("shuffle_merge"), ["size", "hash", "sha"])
+    # one group may hold a third of all rows
+    joined = join_counted(rows, found, ["size", "hash", "sha"], "n_rows")
     each = joined.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return each.select(
         F.col("id").alias(id_col),
