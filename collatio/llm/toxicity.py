@@ -8,7 +8,8 @@ jointly, in numpy, by Adam.  A misspelling that was never seen still shares
 n-grams with the words it comes from.
 
 The classifier is fitted on at most MAX_TRAIN_ROWS labelled rows, those with
-the smallest hash of the id; scoring reads every whole text.  Since the score
+the smallest hash of the id, and MAX_TRAIN_BYTES of their text; near copies
+share the weight of one row.  Scoring reads every whole text.  Since the score
 depends on a word only through its subwords' logits, a worker keeps each
 word's sum and number of subwords.
 """
@@ -23,11 +24,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bound of the sample that the classifier is fitted on.
+from collatio.llm.common import coded, cut, ragged
+
+#: Bounds of the sample that the classifier is fitted on: rows, and bytes of text.
 MAX_TRAIN_ROWS = 6000
+MAX_TRAIN_BYTES = 64 << 20
 N_GRAMS = (3, 6)
 #: A subword enters the bag if so many toxic training texts hold it,
 MIN_TOXIC = 5
@@ -35,19 +41,18 @@ MIN_TOXIC = 5
 MIN_ODDS = 4.0
 #: and if the log of these odds lies so many standard errors above 0.
 MIN_Z = 3.2
-DIM, EPOCHS, RATE, DECAY, SEED = 8, 300, 0.05, 1e-4, 7
+DIM, EPOCHS, RATE, DECAY, SEED = 8, 300, 0.05, 1e-5, 7
 THRESHOLD = 0.7
 #: Words of which a worker keeps the sums.
 TABLE_ENTRIES = 150_000
+#: Texts that are cut into words at once.
+SLICE_ROWS = 1000
 
-_WORDS = re.compile(r"\w+")
+#: What lies between words.
+_BETWEEN = r"[^\p{L}\p{N}_]+"
 _SENTENCES = re.compile(r"[.!?\n]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall((text or "").lower())
-
-
 def subwords(word: str) -> list[str]:
     """The marked word and its character n-grams."""
     marked = f"<{word}>"
@@ -58,6 +63,11 @@ def subwords(word: str) -> list[str]:
     return out
 
 
+def split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(index of every word among the distinct ones, distinct words, words in each text)."""
+    return coded(pa.compute.split_pattern_regex(pa.compute.utf8_lower(pa.compute.fill_null(texts, "")), _BETWEEN))
+
+
 @dataclass
 class Model:
     """Logits of label 1 over label 0: bias, and one of each subword."""
@@ -69,115 +79,138 @@ class Model:
         known = [self.logit[s] for s in subwords(word) if s in self.logit]
         return sum(known), len(known)
 
-    def score(self, words: list[str], table: dict[str, tuple[float, int]] | None = None) -> float:
-        total, n = 0.0, 0
-        for w in words:
-            found = table.get(w) if table is not None else None
-            if found is None:
-                found = self.word(w)
-                if table is not None:
-                    if len(table) >= TABLE_ENTRIES:
-                        table.clear()
-                    table[w] = found
-            if found[1]:
-                total += found[0]
-                n += found[1]
-        return 1.0 / (1.0 + math.exp(-(self.bias + (total / n if n else 0.0))))
-
-
-def _distinct_rows(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """Rows without near copies of earlier ones, which would count as evidence twice."""
-    seen: list[set[int]] = [set() for _ in range(4)]
-    out = []
-    for text, label in rows:
+    def score(self, texts: pa.Array, table: dict[str, tuple[float, int]] | None = None) -> np.ndarray:
+        """Score of each text; table keeps the words' sums between calls."""
+        index, distinct, sizes = split(texts)
+        table = {} if table is None else table
+        if len(table) > TABLE_ENTRIES:
+            table.clear()
+        for w in distinct:
+            if w not in table:
+                table[w] = self.word(w)
+        total, n = (np.array(x, dtype=float) for x in zip(*map(table.__getitem__, distinct))) if distinct else (np.zeros(0), np.zeros(0))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        total, n = (np.bincount(row, x[index], len(sizes)) for x in (total, n))
+        return 1.0 / (1.0 + np.exp(-(self.bias + total / np.maximum(n, 1))))
+
+
+def copy_weights(texts: list[str]) -> np.ndarray:
+    """Weight of each row: near copies of a text share the weight of one.
+
+    Rows are near copies of each other if two of the four least hashes of
+    their sentences agree; of n such rows each weighs 1 / n.
+    """
+    keys = []
+    for text in texts:
         parts = [s.encode("utf-8") for s in _SENTENCES.split(text) if len(s) >= 20] or [text.encode("utf-8")]
-        signature = [min(zlib.crc32(p, salt) for p in parts) for salt in range(4)]
-        if sum(s in known for s, known in zip(signature, seen)) < 2:
-            out.append((text, label))
-        for s, known in zip(signature, seen):
-            known.add(s)
-    return out
+        least = [min(zlib.crc32(p, salt) for p in parts) for salt in range(4)]
+        keys.append(((0, least[0], least[1]), (1, least[2], least[3])))
+    alike = Counter(k for pair in keys for k in pair)
+    return np.array([1.0 / max(alike[k] for k in pair) for pair in keys])
+
+
+class _Bags:
+    """Distinct subwords of the words of labelled rows, as numbers.
+
+    Only subwords that toxic rows hold get a number, so the table is bounded
+    by the toxic part of the sample.
+    """
+
+    def __init__(self, texts: list[str], labels: np.ndarray):
+        self.index, words, sizes = split(pa.array(texts, pa.string()))
+        self.ends = np.cumsum(sizes)
+        self.number: dict[str, int] = {}
+        toxic = np.zeros(len(words), dtype=bool)
+        toxic[self.index[np.repeat(labels > 0, sizes)]] = True
+        held: list = [None] * len(words)
+        for w in np.flatnonzero(toxic).tolist():
+            held[w] = [self.number.setdefault(s, len(self.number)) for s in subwords(words[w])]
+        for w in np.flatnonzero(~toxic).tolist():
+            held[w] = [self.number[s] for s in subwords(words[w]) if s in self.number]
+        self.sizes = np.fromiter(map(len, held), dtype=np.int64, count=len(held))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.fromiter((s for each in held for s in each), dtype=np.int32, count=int(self.sizes.sum()))
+
+    def row(self, k: int, distinct: bool) -> np.ndarray:
+        """Numbers of a row's subwords, from its distinct words or from all."""
+        words = self.index[self.ends[k - 1] if k else 0 : self.ends[k]]
+        words = np.unique(words) if distinct else words
+        return ragged(self.flat, self.starts[words], self.sizes[words])
+
+    def keep(self, chosen: np.ndarray) -> None:
+        """Renumbers the chosen subwords and forgets the others."""
+        new = np.full(len(self.number), -1, dtype=np.int32)
+        new[chosen] = np.arange(len(chosen))
+        flat = new[self.flat]
+        word = np.repeat(np.arange(len(self.sizes)), self.sizes)[flat >= 0]
+        self.flat, self.sizes = flat[flat >= 0], np.bincount(word, minlength=len(self.sizes))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+
+Parameters = dict[str, np.ndarray]
+
+
+def gradients(p: Parameters, bag: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[float, Parameters]:
+    """(loss, gradients) of the weighted mean cross-entropy, with decay.
+
+    bag: (row, subword, share), ordered by row; the shares of a row sum to 1,
+    rows without any have the bias alone.  y: (rows, 2), a 1 in each row.
+    """
+    row, column, share = bag
+    mean = np.zeros((len(y), p["e"].shape[1]))
+    if len(row):
+        starts = np.flatnonzero(np.r_[True, np.diff(row) != 0])
+        mean[row[starts]] = np.add.reduceat(p["e"][column] * share[:, None], starts)
+    z = mean @ p["w"] + p["b"]
+    z -= z.max(axis=1, keepdims=True)
+    log = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    total = weight.sum()
+    loss = -(weight[:, None] * y * log).sum() / total + 0.5 * DECAY * ((p["e"] ** 2).sum() + (p["w"] ** 2).sum())
+    off = weight[:, None] * (np.exp(log) - y) / total
+    back = (off @ p["w"].T)[row] * share[:, None]
+    e = np.stack([np.bincount(column, back[:, d], len(p["e"])) for d in range(back.shape[1])], axis=1)
+    return loss, {"e": e + DECAY * p["e"], "w": mean.T @ off + DECAY * p["w"], "b": off.sum(axis=0)}
 
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
     """Model of (text, label) rows; without rows or labels of 1 the bias alone."""
-    rows = _distinct_rows([(t or "", y) for t, y in rows])
-    n, n1 = len(rows), sum(y for _, y in rows)
-    n0 = n - n1
+    texts, labels = [t or "" for t, _ in rows], np.array([y for _, y in rows], dtype=np.int64)
+    weight = copy_weights(texts) if rows else np.zeros(0)
+    n1 = float(weight[labels > 0].sum())
+    n0 = float(weight.sum()) - n1
     prior = math.log((n1 + 0.5) / (n0 + 0.5))
-    in_toxic: Counter[str] = Counter()
-    for text, label in rows:
-        if label:
-            in_toxic.update({s for w in set(words_of(text)) for s in subwords(w)})
-    known = {s for s, k in in_toxic.items() if k >= MIN_TOXIC}
-    held: dict[str, tuple[str, ...]] = {}  # each word's subwords that are known
-
-    def known_in(word: str) -> tuple[str, ...]:
-        if word not in held:
-            if len(held) >= 100_000:
-                held.clear()
-            held[word] = tuple(s for s in subwords(word) if s in known)
-        return held[word]
-
-    in_other: Counter[str] = Counter()
-    for text, label in rows:
-        if not label:
-            for w in set(words_of(text)):
-                in_other.update(set(known_in(w)))
-    kept = []
-    for s in sorted(known):
-        a, c = in_toxic[s] + 0.5, min(in_other[s], n0) + 0.5
-        b, d = n1 - in_toxic[s] + 0.5, n0 - min(in_other[s], n0) + 0.5
-        odds = math.log(a * d / (b * c))
-        if odds >= math.log(MIN_ODDS) and odds / math.sqrt(1 / a + 1 / b + 1 / c + 1 / d) >= MIN_Z:
-            kept.append(s)
-    if not kept:
+    if not (labels > 0).any():
         return Model(prior, {})
-    at = {s: i for i, s in enumerate(kept)}
-    # bags as (row, subword, share); rows with an empty bag only move the bias
-    row_of, column, share, label_of = [], [], [], []
-    for text, label in rows:
-        bag = Counter(s for w in words_of(text) for s in known_in(w) if s in at)
-        total = sum(bag.values())
-        for s, k in bag.items():
-            row_of.append(len(label_of))
-            column.append(at[s])
-            share.append(k / total)
-        if bag:
-            label_of.append(label)
-    r, c, x = np.array(row_of), np.array(column), np.array(share)
-    y = np.eye(2)[np.array(label_of)]
-    empty1 = n1 - int(sum(label_of))
-    empty = np.array([n - len(label_of) - empty1, empty1], dtype=float)
-
+    bags = _Bags(texts, labels)
+    held = np.zeros((2, len(bags.number)))  # weight of the rows that hold a subword, by label
+    for k, label in enumerate(labels.tolist()):
+        held[label, np.unique(bags.row(k, True))] += weight[k]
+    a, c = held[1] + 0.5, held[0] + 0.5
+    b, d = n1 - held[1] + 0.5, n0 - held[0] + 0.5
+    odds = np.log(a * d / (b * c))
+    tied = (held[1] >= MIN_TOXIC) & (odds >= math.log(MIN_ODDS)) & (odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d) >= MIN_Z)
+    chosen = np.flatnonzero(tied)
+    if not len(chosen):
+        return Model(prior, {})
+    names = list(bags.number)
+    bags.keep(chosen)
+    parts = []
+    for k in range(len(rows)):
+        column, n = np.unique(bags.row(k, False), return_counts=True)
+        parts.append((np.full(len(column), k), column, n / max(1, n.sum())))
+    bag = tuple(np.concatenate(x) for x in zip(*parts))
+    y = np.eye(2)[labels]
     rng = np.random.default_rng(SEED)
-    weights = {"e": rng.normal(0, 0.1, (len(kept), DIM)), "w": rng.normal(0, 0.1, (DIM, 2)), "b": np.zeros(2)}
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
-    order = np.argsort(r, kind="stable")
-    r, c, x = r[order], c[order], x[order]
-    starts = np.flatnonzero(np.r_[True, np.diff(r) != 0])
-    by_column = np.argsort(c, kind="stable")
-    column_starts = np.flatnonzero(np.r_[True, np.diff(c[by_column]) != 0])
-
-    def softmax(z):
-        z = np.exp(z - z.max(axis=-1, keepdims=True))
-        return z / z.sum(axis=-1, keepdims=True)
-
+    p = {"e": rng.normal(0, 0.1, (len(chosen), DIM)), "w": rng.normal(0, 0.1, (DIM, 2)), "b": np.zeros(2)}
+    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     for step in range(1, EPOCHS + 1):
-        mean = np.add.reduceat(weights["e"][c] * x[:, None], starts)
-        off = softmax(mean @ weights["w"] + weights["b"]) - y
-        back = (off @ weights["w"].T)[r] * x[:, None]
-        grad_e = np.add.reduceat(back[by_column], column_starts)  # every kept subword occurs
-        off_empty = softmax(weights["b"]) * empty.sum() - empty
-        grads = {"e": grad_e / n + DECAY * weights["e"], "w": mean.T @ off / n + DECAY * weights["w"], "b": (off.sum(axis=0) + off_empty) / n}
-        for k, g in grads.items():
+        for k, g in gradients(p, bag, y, weight)[1].items():
             m, v = moments[k]
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            weights[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    direction = weights["w"][:, 1] - weights["w"][:, 0]
-    logits = weights["e"] @ direction
-    return Model(float(weights["b"][1] - weights["b"][0]), {s: float(logits[i]) for s, i in at.items()})
+            p[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    logits = p["e"] @ (p["w"][:, 1] - p["w"][:, 0])
+    return Model(float(p["b"][1] - p["b"][0]), {names[s]: float(x) for s, x in zip(chosen.tolist(), logits)})
 
 
 def is_held_out(id_column: Column) -> Column:
@@ -185,12 +218,13 @@ def is_held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Model of at most max_rows labelled rows that are not held out.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_bytes: int = MAX_TRAIN_BYTES) -> Model:
+    """Model of labelled rows that are not held out, max_rows and max_bytes of text at most.
 
     Rows with null ids or labels are not learned from; an id labelled several
     times counts once, as toxic if any label is 1; of documents with one id
-    the smallest text is learned from.
+    the smallest text is learned from.  Rows are taken in the order of the
+    hash of their id; one that would exceed max_bytes is passed over.
     """
     known = (
         labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y"))
@@ -202,8 +236,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, id
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     # max_rows ids at most, and a row for each
-    rows = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()
-    return fit([(r.text, int(r.y > 0)) for r in sorted(rows, key=lambda r: r.id)])
+    rows = cut(texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
+    left, chosen = max_bytes, []
+    for r in rows.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("id"), "id").collect():
+        if r.n <= left:
+            left -= r.n
+            chosen.append(r.id)
+    taken = set(chosen)
+    found = rows.collect() if left >= 0 and len(chosen) == rows.count() else rows.where(F.col("id").isin(chosen)).collect()
+    return fit([(r.text, int(r.y > 0)) for r in sorted(found, key=lambda r: r.id) if r.id in taken])
 
 
 _TABLES: dict[int, dict[str, tuple[float, int]]] = {}
@@ -219,8 +260,10 @@ def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
         model = shared.value
         if key not in _TABLES:
             _TABLES.clear()
-        table = _TABLES.setdefault(key, {})
-        return pd.Series([model.score(words_of(t), table) for t in texts], dtype="float64")
+        table, out = _TABLES.setdefault(key, {}), []
+        for a in range(0, len(texts), SLICE_ROWS):
+            out.append(model.score(pa.array(texts.iloc[a : a + SLICE_ROWS], pa.string(), from_pandas=True), table))
+        return pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
     return score(text)
 

@@ -1,8 +1,10 @@
 import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from collatio.llm import lm_scoring as M
 from collatio.llm import toxicity as X
@@ -23,6 +25,57 @@ def labelled(n, seed):
     return out
 
 
+def plain_score(model, text):
+    """Score by plain loops over words and their character n-grams."""
+    bag = []
+    for word in re.findall(r"\w+", (text or "").lower()):
+        marked = f"<{word}>"
+        grams = {(i, n) for n in range(X.N_GRAMS[0], X.N_GRAMS[1] + 1) for i in range(len(marked) - n + 1)} | {(0, len(marked))}
+        bag += [model.logit[marked[i : i + n]] for i, n in grams if marked[i : i + n] in model.logit]
+    return 1 / (1 + math.exp(-model.bias - (sum(bag) / len(bag) if bag else 0)))
+
+
+def test_toxicity_scores_by_plain_loops(spark):
+    rows = labelled(300, 7)
+    model = X.fit([(t, y) for _, t, y in rows])
+    assert model.logit
+    texts = [t for _, t, _ in rows[:60]] + [None, "", "...", "Zorkface-GRUMBIX_x \u00e9t\u00e9 \u4e09"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in X.score(docs, model).collect():
+        assert abs(r.score - plain_score(model, texts[r.doc_id])) < 1e-9
+
+
+def test_toxicity_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(2)
+    row = np.array([0, 0, 0, 1, 3, 3])
+    bag = row, np.array([0, 2, 3, 1, 0, 1]), np.array([0.5, 0.25, 0.25, 1, 0.3, 0.7])
+    y, weight = np.eye(2)[[1, 0, 1, 0]], np.array([1, 0.5, 1, 0.25])
+    p = {"e": rng.normal(0, 1, (5, X.DIM)), "w": rng.normal(0, 1, (X.DIM, 2)), "b": rng.normal(0, 1, 2)}
+    g = X.gradients(p, bag, y, weight)[1]
+    for name, values in p.items():
+        flat = values.reshape(-1)
+        for at in range(flat.size):
+            was, found = flat[at], []
+            for step in (1e-6, -1e-6):
+                flat[at] = was + step
+                found.append(X.gradients(p, bag, y, weight)[0])
+            flat[at] = was
+            assert abs((found[0] - found[1]) / 2e-6 - g[name].reshape(-1)[at]) < 1e-6
+
+
+def test_toxicity_sample_is_weighed_and_bounded(spark):
+    """No row is dropped: copies share the weight of one; rows over the bytes are passed over."""
+    lines = [f"a sentence with number {i} in it." for i in range(8)]
+    text = "\n".join(lines)
+    weights = X.copy_weights([text, text, text + " ok", "other words stand here for themselves", ""])
+    assert weights.tolist() == [1 / 3] * 3 + [1, 1]
+    rows = labelled(120, 3)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, "zz " * 50_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    assert X.train(docs, labels, max_bytes=0).logit == {}
+    assert X.train(docs, labels, max_bytes=1 << 20).logit == X.train(docs.repartition(7), labels).logit
+
+
 def test_toxicity_held_out_accuracy(spark):
     rows = labelled(900, 1)
     docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows] + [(5000, None, 0.0), (5001, "", 0.0), (None, "a grumbix", 0.0), (5002, "you grumbixes and zorkfaced lot", 0.0)], "doc_id long, text string, score double")
@@ -48,10 +101,11 @@ def test_toxicity_without_labels(spark):
     assert X.score(docs, model).first().predicted == 0
 
 
-def naive(w, vocabulary, text):
+def naive(model, text):
     """Sum of conditional log-probabilities by plain loops."""
-    ids = [int(x) for x in vocabulary.tokens(M.words_of(text))]
-    total = 0.0
+    w, words = model.weights, (text or "").lower().split()
+    ids, shares = model.vocabulary.look_up(words)
+    ids, total = [int(x) for x in ids], float(shares.sum())
     for t, target in enumerate(ids):
         x = w["hidden"].astype(float).copy()
         for k, o in enumerate(M._PLACES):
@@ -73,8 +127,7 @@ def test_lm_scores(spark):
     got = {r.doc_id: r for r in M.score(docs, model).collect()}
     assert len(got) == 124
     for i in (0, 1, 2, None):
-        text = "the cat" if i is None else texts[i]
-        total, n = naive(model.weights, model.vocabulary, text)
+        total, n = naive(model, "the cat" if i is None else texts[i])
         assert got[i].n_tokens == n
         assert abs(got[i].log_likelihood - total) < 1e-3 * max(1, abs(total))
     assert (got[900].n_tokens, got[900].log_likelihood, got[900].mean_log_likelihood) == (0, 0.0, None)
@@ -82,38 +135,87 @@ def test_lm_scores(spark):
     assert got[902].n_tokens == 30_000
     start = M.Model(model.vocabulary, M.start_weights(model.vocabulary.unigram))
     assert model.score(texts)[0].sum() > start.score(texts)[0].sum()  # context helps over counts alone
-    assert M.score(docs.limit(0), model).count() == 0
+    assert M.score(docs.limit(0), model).count() == M.self_scores(docs.limit(0)).count() == 0
     assert M.train(docs.where("doc_id IN (900, 901)")).score(["x"])[1].tolist() == [1]
 
 
-def test_lm_shares_of_a_token(spark):
-    """Words beyond the tokens of their own are told apart, and unseen ones come last."""
-    ranked = [f"w{i}" for i in range(3000)]
-    texts = [" ".join(w for i, w in enumerate(ranked) if k < (120 if i < 900 else 60 if i < 1200 else 25 if i < 1500 else 2)) for k in range(120)]
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    """The same model and scores however the rows are dealt, with several shards."""
+    monkeypatch.setattr(M, "SHARD_BYTES", 4096)
+    rows = [(i if i % 9 else None, t) for i, t, _ in labelled(200, 4)] + [(7, "said twice")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").orderBy("text")
+    found = []
+    for parts in (1, 4, 13):
+        scored = M.self_scores(docs.repartition(parts)).collect()
+        found.append(sorted((str(r.doc_id), r.n_tokens, r.log_likelihood) for r in scored))
+    assert found[0] == found[1] == found[2]
+    model = M.train(docs)
+    other = sorted((str(r.doc_id), r.n_tokens, r.log_likelihood) for r in M.score(docs, model).collect())
+    assert all(x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-3 for x, y in zip(other, found[0], strict=True))
+
+
+def test_lm_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 200, 40)
+    pad = np.full(M.WINDOW, M.TOKENS)
+    part = np.concatenate([pad, ids[:25], pad, ids[25:], pad])
+    w = {k: v.astype(float) + rng.normal(0, 0.1, v.shape) for k, v in M.start_weights(np.full(M.TOKENS, 1 / M.TOKENS)).items()}
+
+    def loss():
+        found = M.log_probabilities(w, part)
+        return -found.sum() / (part < M.TOKENS).sum()
+
+    g, rows, n = M.gradients(w, part)
+    assert n == 40
+    step = 1e-5
+    for name in w:
+        whole = np.zeros_like(w[name])
+        whole[(slice(None), rows) if name == "embed" else slice(None)] = g[name]
+        flat, places = w[name].reshape(-1), np.flatnonzero(np.abs(whole.reshape(-1)) > 1e-6)
+        assert len(places)
+        for at in [*rng.choice(places, 12), *rng.integers(0, flat.size, 4)]:
+            was = flat[at]
+            flat[at] = was + step
+            up = loss()
+            flat[at] = was - step
+            down = loss()
+            flat[at] = was
+            assert abs((up - down) / (2 * step) - whole.reshape(-1)[at]) < 1e-6, name
+
+
+def test_lm_words_and_shares(spark, monkeypatch):
+    """Words as str.split has them; every one has its share of its token, unseen ones come last."""
+    for text in (None, "", " ", "a  B\tc\n", " x", "\u3000y\u00a0Z "):
+        index, distinct, sizes = M.split(pa.array([text, "q"], pa.string()))
+        assert [distinct[i] for i in index] == (text or "").lower().split() + ["q"]
+        assert sizes.tolist() == [len((text or "").split()), 1]
+    ranked = [f"w{i}" for i in range(M.OWN + 1500)]
+    counts = {w: 120 if i < M.OWN else 60 if i < M.OWN + 300 else 25 if i < M.OWN + 600 else 2 for i, w in enumerate(ranked)}
+    texts = [" ".join(w for w in ranked if k < counts[w]) for k in range(120)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    least = 20
+    monkeypatch.setattr(M, "FREQUENT", -(-sum(len(t.encode()) for t in texts) // least))
     vocabulary = M.vocabulary(docs)
-    own = M.TOKENS - M.SHARED
-    assert len(vocabulary.known) == own and set(vocabulary.known) <= set(ranked[:900])
-    counts = {w: 120 if i < 900 else 60 if i < 1200 else 25 if i < 1500 else 2 for i, w in enumerate(ranked)}
+    token, share = (dict(zip(ranked, x.tolist())) for x in vocabulary.look_up(ranked))
+    assert {w for w in ranked if token[w] < M.OWN} == set(ranked[: M.OWN])
     for bucket in range(M.SHARED):
-        mine = [w for w in ranked if w not in vocabulary.known and zlib.crc32(w.encode()) % M.SHARED == bucket]
+        mine = [w for w in ranked if token[w] == M.OWN + bucket]
         total = sum(counts[w] for w in mine)
-        rare = [w for w in mine if counts[w] < M.MIN_COUNT]
-        shares = dict(zip(mine, np.exp(vocabulary.log_shares(mine))))
+        rare = [w for w in mine if counts[w] < least]
         for w in mine:
-            want = counts[w] / (total + 1) if counts[w] >= M.MIN_COUNT else (sum(counts[v] for v in rare) + 1) / (total + 1) / (len(rare) + 1)
-            assert abs(shares[w] - want) < 1e-5
-        unseen = next(x for x in map("zz{}".format, range(10**6)) if zlib.crc32(x.encode()) % M.SHARED == bucket)
-        assert abs(sum(shares.values()) + np.exp(vocabulary.log_shares([unseen])[0]) - 1) < 1e-5
+            want = counts[w] / (total + 1) if counts[w] >= least else (sum(counts[v] for v in rare) + 1) / (total + 1) / (len(rare) + 1)
+            assert abs(math.exp(share[w]) - want) < 1e-5
+        unseen = next(x for x in map("zz{}".format, range(10**6)) if vocabulary.look_up([x])[0][0] == M.OWN + bucket)
+        assert abs(sum(math.exp(share[w]) for w in mine) + math.exp(vocabulary.look_up([unseen])[1][0]) - 1) < 1e-5
     model = M.Model(vocabulary, M.start_weights(vocabulary.unigram))
-    known, often, unseen = (model.score([t])[0][0] for t in ("w1", "w1000", "qxzzyq"))
+    known, often, unseen = (model.score([t])[0][0] for t in ("w1", f"w{M.OWN + 1}", "qxzzyq"))
     assert known > often > unseen
 
 
 def test_pipeline_by_brute_force(spark, tmp_path):
     """Each stage on what its predecessor kept, against plain definitions."""
     import corpus_pipeline as P
-    from collatio.llm import decontam, simhash
+    from collatio.llm import decontam
 
     rows = labelled(240, 2)
     item = " ".join(PLAIN[:40])
@@ -131,14 +233,14 @@ def test_pipeline_by_brute_force(spark, tmp_path):
         ids = {r.doc_id for r in out.collect()}
         if name == "toxicity":
             model = X.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
-            want = {i for i, t in before.items() if model.score(X.words_of(t)) < X.THRESHOLD}
+            want = {i for i, t in before.items() if plain_score(model, t) < X.THRESHOLD}
         elif name == "exact_dedup":
             want = set({t or "": i for i, t in sorted(before.items())}.values())
         elif name == "simhash_near_dedup":
-            prints = {}
+            sets = {}
             for i, t in before.items():
-                pieces = list(simhash.shingle_hashes(simhash.words_of(t), simhash.NEAR_WIDTH))
-                prints[i] = simhash.fingerprint(iter([np.unique(np.concatenate(pieces))] if pieces else []), simhash.NEAR_LANES)
+                words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+                sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
             up = {i: i for i in before}
 
             def find(x, up=up):
@@ -148,8 +250,7 @@ def test_pipeline_by_brute_force(spark, tmp_path):
 
             for a in before:
                 for b in before:
-                    (x, n), (y, m) = prints[a], prints[b]
-                    if a < b and np.bitwise_count(x ^ y).sum() <= simhash.NEAR_RADIUS and min(n, m) >= simhash.NEAR * max(n, m):
+                    if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                         p, q = find(a), find(b)
                         up[max(p, q)] = min(p, q)
             want = {find(i) for i in before}
