@@ -28,6 +28,9 @@ BLOCK_CHARS = 4_000_000
 #: Characters of documents in one array.
 SLICE_CHARS = 1 << 20
 
+#: Shared q-grams expanded at once, and diagonals of a region aligned at once.
+MAX_HITS, MAX_WIDTH = 1 << 20, 1 << 20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _GAP = 0x110000  # no code point: keeps texts of one array apart
@@ -136,8 +139,8 @@ class Index:
         self.seen = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.seen[(self.grams >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
-    def _hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text position, item, item position) of every shared q-gram."""
+    def _hits(self, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text position, item, item position) of every shared q-gram, MAX_HITS or those of one position at a time."""
         h = gram_hashes(c, self.q)
         at = np.flatnonzero(self.seen[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
         slot = np.searchsorted(self.grams, h[at])
@@ -145,41 +148,55 @@ class Index:
         real = self.grams[slot] == h[at] if len(self.grams) else np.zeros(len(at), bool)
         at, slot = at[real], slot[real]
         n = self.bounds[slot + 1] - self.bounds[slot]
-        where = np.repeat(self.bounds[slot] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.repeat(at, n), self.owner[where], self.place[where]
+        part = np.cumsum(n) // MAX_HITS
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(at)]):
+            m = n[a:b]
+            where = np.repeat(self.bounds[slot[a:b]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            yield np.repeat(at[a:b], m), self.owner[where], self.place[where]
 
     def candidates(self, c: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first diagonal, last diagonal) of bands that reach the bound."""
+        """(item, first diagonal, last diagonal) of regions: bands that reach the bound, joined where they touch."""
         if not len(self.grams) or len(c) < self.q:
             return []
-        x, item, y = self._hits(c)
-        if not len(x):
-            return []
-        step = self.k_of[item] + 1
         # diagonals are shifted so that none is negative
         longest = max(len(t) for t in self.texts)
-        diagonal = x - y + longest
-        band = diagonal // step
         stride = (len(c) + 2 * longest) + 2
-        # each hit lies in the band that begins at its step and in the one before
-        key = item * stride + band
-        values, counts = np.unique(key, return_counts=True)
+        keys, numbers = [], []
+        for x, item, y in self._hits(c):
+            band = (x - y + longest) // (self.k_of[item] + 1)
+            values, counts = np.unique(item * stride + band, return_counts=True)
+            keys.append(values)
+            numbers.append(counts)
+        if len(keys) == 1:
+            values, counts = keys[0], numbers[0]
+        else:
+            values, at = np.unique(np.concatenate(keys), return_inverse=True)
+            counts = np.bincount(at, np.concatenate(numbers), len(values)).astype(np.int64)
+        if not len(values):
+            return []
+        # each hit lies in the band that begins at its step and in the one before;
+        # a band is a step and the next one
         before = np.zeros(len(values), dtype=np.int64)
         follows = np.flatnonzero(np.diff(values) == 1)
         before[follows] = counts[follows + 1]
-        # a band is a step and the next one
-        full = counts + before
         owner = values // stride
-        found = [(int(o), int(v)) for o, v in zip(owner[full >= self.need_of[owner]], values[full >= self.need_of[owner]])]
-        # bands that begin a step before their only hits
-        lone = values[(counts >= self.need_of[owner])] - 1
-        found += [(int((v + 1) // stride), int(v)) for v in lone]
-        out = set()
-        for o, v in found:
-            b = v - o * stride
-            s = self.k[o] + 1
-            out.add((o, b * s - longest, (b + 2) * s - 1 - longest))
-        return sorted(out)
+        need = self.need_of[owner]
+        # bands that reach the bound, and those that begin a step before their only hits
+        found = np.concatenate([values[counts + before >= need], values[counts >= need] - 1])
+        item = np.concatenate([owner[counts + before >= need], owner[counts >= need]])
+        if not len(found):
+            return []
+        step = self.k_of[item] + 1
+        low = (found - item * stride) * step - longest
+        order = np.lexsort((low, item))
+        out: list[tuple[int, int, int]] = []
+        for o, a, b in zip(item[order].tolist(), low[order].tolist(), (low + 2 * step - 1)[order].tolist()):
+            if out and out[-1][0] == o and a <= out[-1][2] + 1 and b - out[-1][1] < MAX_WIDTH:
+                out[-1] = (o, out[-1][1], max(b, out[-1][2]))
+            else:
+                out.append((o, a, b))
+        return out
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item id, edits, start, stop) in the normal text, best per item."""
@@ -197,7 +214,10 @@ class Index:
             if at >= 0:
                 found = (0, at, at + m)
             else:
-                found = banded_distance(self.codes[o], c, low - self.k[o], high + self.k[o], self.k[o])
+                # no alignment leaves the text by more than the budget
+                k = self.k[o]
+                first, last = max(low - k, -k), min(high + k, len(c) + k)
+                found = banded_distance(self.codes[o], c, first, last, k) if first <= last else None
             if found is not None:
                 row = (self.ids[o], *found)
                 if o not in best or row[1:] < best[o][1:]:
