@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from collatio.llm.common import cut, join_counted
+
 BITS_PER_RULE = 16
 MAX_FILTER_BYTES = 32 << 20
 _BLOCK_WORDS = 8
@@ -32,7 +34,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def with_host_and_path(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """Adds host (A-Z lower-cased) and path; both empty for null or no `://`."""
+    """Adds host (A-Z lower-cased) and path; both empty for null or no `://`.
+
+    pages has no columns of these names (judge() takes only what it needs).
+    """
     url = F.col(f"`{url_col}`")
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
@@ -110,13 +115,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     spark = pages.sparkSession
     listed = (
         rules.where("host <> ''")
-        .select(F.concat("host", F.coalesce("path", F.lit(""))).alias("form"), F.length("host").alias("n_host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+        .select(F.concat("host", F.coalesce("path", F.lit(""))).alias("form"), F.length("host").alias("n_host"), F.size(F.split("host", "[.]")).alias("n_labels"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
         .groupBy("form")
-        .agg(F.max("n_host").alias("n_host"), F.max(F.length("path")).alias("n_path"), F.max("verdict").alias("verdict"))
+        .agg(F.max("n_host").alias("n_host"), F.max("n_labels").alias("n_labels"), F.max(F.length("path")).alias("n_path"), F.max("verdict").alias("verdict"))
     )
     bloom = build_filter(listed, listed.count())
     # one entry for each distinct length of a listed path, not for each rule
     lengths = sorted(r.n_path for r in listed.select("n_path").distinct().collect())
+    most = listed.agg(F.max("n_labels")).first()[0] or 0
     shared = spark.sparkContext.broadcast((bloom, lengths))
 
     def propose(batches):
@@ -124,9 +130,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
         for batch in batches:
             rows, forms = [], []
             for i, (host, path) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                labels = host.split(".")
-                for k in range(len(labels)):
-                    suffix = ".".join(labels[k:])
+                # no listed host has more labels, however many the url's has
+                labels = host.rsplit(".", most) if most else []
+                for k in range(1, min(most, len(labels)) + 1):
+                    suffix = ".".join(labels[-k:])
                     for n in lengths:
                         if n > len(path):
                             break
@@ -138,15 +145,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
 
     parsed = with_host_and_path(pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").alias("_url")), "_url")
     # hot urls shrink to one row each before the first shuffle
-    urls = parsed.where("host <> ''").select("host", "path").distinct()
-    hits = urls.mapInArrow(propose, "host string, path string, form string")
+    urls = cut(parsed.groupBy("host", "path").agg(F.count("*").alias("n")))
+    hits = cut(urls.where("host <> ''").select("host", "path").mapInArrow(propose, "host string, path string, form string"))
+    # many urls may hit one form, and many rows bear one url
+    forms = cut(hits.groupBy("form").agg(F.count("*").alias("n")).join(listed.select("form", "n_host", "verdict"), "form"), slim=True)
     decided = (
-        hits.join(listed.select("form", "n_host", "verdict"), "form")
+        join_counted(hits, forms, ["form"], "n")
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("form").alias("n"), "n_host", "form", "verdict")).alias("best"))
-        .select(F.col("host").alias("_host"), F.col("path").alias("_path"), "best")
     )
-    joined = parsed.join(decided, (parsed.host == decided._host) & (parsed.path == decided._path), "left")
+    joined = join_counted(parsed, cut(urls.join(decided, ["host", "path"], "left")), ["host", "path"], "n", "left")
     return joined.select(
         F.col("_id").alias(id_col), "host", "path",
         F.col("best.form").alias("rule"),
