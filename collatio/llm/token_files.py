@@ -41,11 +41,16 @@ _CORE_AND_MARKS = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!\x22#$%&()*+,
 #: Cores that the library gets in one text.
 _TOGETHER = 1000
 #: Bytes of text whose words are made distinct together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+#: What a tokenizer's ids for single words must join to, or whole texts go to it.
+PROBES = (
+    "", " ", "the The THE", " two  blanks ", "line\nbreak\n\n", "tab\there\r\n", "it's don't we'll O'Neil's", "end. (and) [more]... #5 3.14 a1b2 x_y",
+    "Ünïcödé straße ÉTÉ naïve", "ﬁne ① ½ Å", "日本語 テキスト 한국어", "emoji 👩‍👩‍👧 ok!", "a\u00a0b\u3000c\u200bd", "</w> <unk> <s>", "w" * 70, "\u0130stanbul Ω ς",
+)
 #: Ids that a task reads back, in whole files.
 READ_IDS = 8 << 20
 
-MANIFEST = "part int, file string, n_docs long, n_ids long"
+MANIFEST = "part int, file string, n_docs long, n_ids long, first_id long, last_id long"
 
 # Fixed values of the public zstd seekable format.
 _SKIPPABLE = 0x184D2A5E
@@ -77,6 +82,17 @@ class Encoder:
         pieces = tokenizer.get_vocab(with_added_tokens=True)
         self._ends = np.zeros(max(pieces.values()) + 1, dtype=bool)
         self._ends[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
+        # of another kind of tokenizer whole texts are encoded by the library
+        self.by_words = True
+        self.by_words = self._joins()
+
+    def _joins(self) -> bool:
+        """Whether ids of words, joined, are the library's ids of the text, on PROBES."""
+        try:
+            ids, ends = self.encode_column(pa.array(PROBES, pa.string()))
+        except Exception:  # a tokenizer that words cannot be taken from
+            return False
+        return all(x.tolist() == self._tok.encode(t, add_special_tokens=False).ids for x, t in zip(np.split(ids, ends[:-1]), PROBES))
 
     def alone(self, word: str) -> list[int]:
         found = self._alone.get(word)
@@ -130,6 +146,9 @@ class Encoder:
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text's ids); null counts as empty."""
+        if not self.by_words:
+            found = [e.ids for e in self._tok.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], dtype=np.uint32), np.cumsum([len(ids) for ids in found], dtype=np.int64)
         blanks = pc.replace_substring(pc.fill_null(texts, ""), pattern="\n", replacement=" ")
         lists = pc.split_pattern(blanks, pattern=" ")
         words = lists.flatten().dictionary_encode()
@@ -224,11 +243,12 @@ class Reader:
         body = source.read(length)
         n, self._frame_ids = struct.unpack("<QI", body[:12])
         raw = zstandard.ZstdDecompressor().decompress(body[12:])
-        nulls = np.frombuffer(raw, dtype="u1", count=n)
-        ids = np.frombuffer(raw, dtype="<i8", count=n, offset=n)
+        #: ids are in order behind the null ones
+        self.nulls = np.frombuffer(raw, dtype="u1", count=n)
+        self.ids = np.frombuffer(raw, dtype="<i8", count=n, offset=n)
         self.ends = np.frombuffer(raw, dtype="<i8", count=n, offset=9 * n)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if n else self.ends
-        self.doc_ids = [None if z else int(x) for z, x in zip(nulls, ids)]
+        self.doc_ids = [None if z else x for z, x in zip(self.nulls.tolist(), self.ids.tolist())]
         self._zstd = zstandard.ZstdDecompressor()
         self._last: tuple[int, bytes] = (-1, b"")
         self.frames_read = 0
@@ -261,7 +281,8 @@ def write(df: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, id_col
     Rows are ordered by (id, text), null ids first; a null text counts as
     empty (the end id alone); repeated rows are written as often as they
     occur; an empty table writes no file.  path must be empty or new.
-    Manifest: (part int, file string, n_docs long, n_ids long), by part.
+    Manifest: (part, file, n_docs, n_ids, first_id, last_id), by part; the least
+    and largest id are null where a file has none.
     """
     spark = df.sparkSession
     fs, root = open_fs(path)
@@ -275,9 +296,11 @@ def write(df: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, id_col
         fs, root = open_fs(path)
         words = encoder(tokenizer_file)
         writer = sink = None
-        docs = 0
+        docs, first, last = 0, None, None
         for batch in batches:
             for part_of in narrow(batch, SLICE_BYTES):
+                low, high = (pc.min_max(part_of.column(0))[k].as_py() for k in ("min", "max"))
+                first, last = low if first is None else first, last if high is None else high
                 if writer is None:
                     sink = fs.open_output_stream(f"{root}/{name}", compression=None)
                     writer = Writer(sink)
@@ -290,7 +313,7 @@ def write(df: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, id_col
         if writer is not None:
             writer.close()
             sink.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [docs], "n_ids": [writer.total]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [docs], "n_ids": [writer.total], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64())})
 
     slim = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     tie = F.xxhash64("text")
@@ -302,20 +325,18 @@ def write(df: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, id_col
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The files that count, in the order of their ids; of an empty table none."""
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy("part")
 
 
-def _files(spark: SparkSession, path: str) -> tuple[list[tuple[str, int]], int]:
-    """Name and global start of every file, and the number of all ids."""
-    out, start = [], 0
+def _scan(spark: SparkSession, path: str, each, schema: str, wanted: np.ndarray | None = None) -> DataFrame:
+    """each(reader, global start) of every file, or of those whose ids span one that is wanted (in order)."""
+    files, start, total = [], 0, 0
     for row in read_manifest(spark, path).collect():
-        out.append((row.file, start))
+        if wanted is None or row.first_id is not None and np.searchsorted(wanted, row.first_id) < np.searchsorted(wanted, row.last_id, "right"):
+            files.append((row.file, start))
+            total += row.n_ids
         start += row.n_ids
-    return out, start
-
-
-def _scan(spark: SparkSession, path: str, each, schema: str) -> DataFrame:
-    files, total = _files(spark, path)
     if not files:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(files)
@@ -333,7 +354,10 @@ def _scan(spark: SparkSession, path: str, each, schema: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, in any order."""
+    """(doc_id, start, n_tokens, ids) of every document, in any order.
+
+    Null ids and repeated rows are given as written; no file gives no row.
+    """
 
     def each(reader: Reader, start: int) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(reader.doc_ids), 256):
@@ -350,7 +374,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32): read back, without moving ids to the JVM."""
+    """(doc_id, start, n_tokens, ids_crc32): read back, without moving ids to the JVM.
+
+    Null ids and repeated rows are given as written; no file gives no row.
+    """
 
     def each(reader: Reader, start: int) -> Iterator[pa.RecordBatch]:
         crc = [zlib.crc32(reader.document(i)) for i in range(len(reader.doc_ids))]
@@ -367,18 +394,20 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the documents asked for.
 
-    Only frames that hold them are decompressed; ids not present give no row,
-    repeated documents give one row each.
+    Only files whose ids span one of them are opened, and only frames that hold
+    them decompressed; ids not present give no row, repeated documents one each.
     """
-    wanted = set(doc_ids)
+    wanted = np.unique(np.array(doc_ids, dtype=np.int64))
 
     def each(reader: Reader, start: int) -> Iterator[pa.RecordBatch]:
-        for i, doc_id in enumerate(reader.doc_ids):
-            if doc_id in wanted:
+        nulls = int(reader.nulls.sum())
+        known = reader.ids[nulls:]
+        for a, b in zip(np.searchsorted(known, wanted, "left").tolist(), np.searchsorted(known, wanted, "right").tolist()):
+            for i in range(nulls + a, nulls + b):
                 ids = np.frombuffer(reader.document(i), dtype="<i4")
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([doc_id], pa.int64()), "start": pa.array([start + int(reader.starts[i])], pa.int64()),
+                    "doc_id": pa.array([reader.doc_ids[i]], pa.int64()), "start": pa.array([start + int(reader.starts[i])], pa.int64()),
                     "n_tokens": pa.array([len(ids)], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int32())),
                 })
 
-    return _scan(spark, path, each, "doc_id long, start long, n_tokens long, ids array<int>")
+    return _scan(spark, path, each, "doc_id long, start long, n_tokens long, ids array<int>", wanted)
