@@ -5,7 +5,9 @@ so a text falls into chunks (a run of markers and what follows up to the next
 marker) whose segmentations do not depend on each other.  Every distinct chunk
 is segmented once by the library and kept, with its ids as bytes; a text's ids
 are the chunks' bytes joined by position.  `crossing_pieces` tells whether a
-model has the property; `encode` refuses one that lacks it.
+model has the property; `encode` refuses one that lacks it.  If a model's
+normaliser changes texts across chunks, which PROBES show, whole texts go to
+the library instead.
 
 The table is that of a slice of a batch (SLICE_BYTES), found in Arrow.  A table
 shared by the whole cluster would need every occurrence of every chunk to be
@@ -36,6 +38,11 @@ KEEP_CHARS = 64
 SLICE_BYTES = 8 << 20
 
 _MARK = "▁"
+#: What chunks must join to the library's ids of, or whole texts go to it.
+PROBES = (
+    "", " ", "a", "two words", "  lead and trail  ", "a   b", "\ttab\nline\r\n", f"{_MARK}mark {_MARK}{_MARK} x{_MARK}", "ﬁne ① ½ Å ÅNGSTRÖM", "日本語 テキスト 한국어",
+    "emoji 👩‍👩‍👧 ok!", "a\u00a0b\u3000c\u200bd\ufeff", "<s> </s> <unk> <0x0A>", "\x00\x01 x", "e\u0301 e \u0301",
+)
 _CHUNKS = re.compile(f"{_MARK}*[^{_MARK}]+|{_MARK}+")
 
 
@@ -84,6 +91,12 @@ class Codec:
         self.table = ChunkTable(self.sp, entries)
         self.begin = np.asarray([self.sp.bos_id()], dtype="<u4").tobytes()
         self.end = np.asarray([self.sp.eos_id()], dtype="<u4").tobytes()
+        self.by_chunks = True
+        joined = self.encode_column(pa.array(PROBES, pa.string()))
+        self.by_chunks = all(x == self._whole(t) for x, t in zip(joined, PROBES))
+
+    def _whole(self, text: str) -> bytes:
+        return self.begin + np.asarray(self.sp.encode(text), dtype="<u4").tobytes() + self.end
 
     def body(self, text: str) -> bytes:
         """Ids without begin and end, as bytes."""
@@ -97,6 +110,8 @@ class Codec:
         return b"".join(map(self.table.__getitem__, chunks))
 
     def encode(self, text: str | None) -> bytes:
+        if not self.by_chunks:
+            return self._whole(text or "")
         return self.begin + self.body(text or "") + self.end
 
     def encode_column(self, texts: pa.Array) -> list[bytes]:
@@ -107,6 +122,8 @@ class Codec:
         cut by `body`.
         """
         texts = pc.fill_null(texts, "")
+        if not self.by_chunks:
+            return [self._whole(t) for t in texts.to_pylist()]
         odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, _MARK))
         odd = pc.or_(odd, pc.or_(pc.starts_with(texts, " "), pc.or_(pc.ends_with(texts, " "), pc.equal(texts, ""))))
         lists = pc.split_pattern(texts.filter(pc.invert(odd)), pattern=" ")

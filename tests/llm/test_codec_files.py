@@ -62,6 +62,23 @@ def test_words_equal_library(entries):
             assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """A tokenizer whose words do not join to its ids is noticed, and right all the same."""
+    import os
+
+    assert W.encoder(WORDS).by_words and S.codec(MODEL).by_chunks
+    other = os.path.join(os.path.dirname(WORDS), "byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    tok, table = Tokenizer.from_file(other), W.encoder(other)
+    assert not table.by_words
+    for t, ids in zip(ODD, table.encode_all(ODD)):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids
+    c = S.Codec(MODEL)
+    c.by_chunks = False
+    assert c.encode_column(S.pa.array(ODD, S.pa.string())) == [S.codec(MODEL).encode(t) for t in ODD]
+
+
 def test_file_format():
     out = io.BytesIO()
     writer = W.Writer(out, frame_ids=10)
@@ -107,6 +124,11 @@ def test_write_and_read(spark, tmp_path):
     for r in got:
         assert digest[(r.doc_id, r.start)] == zlib.crc32(np.array(r.ids, "<u4").tobytes())
     assert len(W.lookup(spark, path, [5, 10_000]).collect()) == sum(r[0] == 5 for r in rows)
+    assert W.lookup(spark, path, [-4, 10_000]).count() == W.lookup(spark, path, []).count() == 0
+    some = {(r.doc_id, r.start, tuple(r.ids)) for r in W.lookup(spark, path, [100, 7, 7, 50]).collect()}
+    assert some == {(r.doc_id, r.start, tuple(r.ids)) for r in got if r.doc_id in (7, 50, 100)}
+    spans = [(r.first_id, r.last_id) for r in manifest.collect() if r.first_id is not None]
+    assert spans == sorted(spans) and spans[0][0] == 0 and spans[-1][1] == 100
 
 
 def test_write_empty(spark, tmp_path):
