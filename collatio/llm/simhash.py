@@ -32,7 +32,7 @@ TILE = 512
 #: A signature with more fingerprints is split into tiles of about this size.
 SPLIT = 65536
 #: The same where the shingle sets travel along.
-SPLIT_SETS = 2048
+SPLIT_SETS = 1024
 #: Bytes of visitors that a task holds before they are compared.
 HELD_BYTES = 1 << 25
 SEED = 42
@@ -230,7 +230,7 @@ def links(celled: DataFrame, steps: list[int], lanes: int, radius: int, least_ra
     only if their cells are equal or a step apart.  Every class is host in its
     own cell and guest in those a step away.  The number of cells is bounded by
     the signature, so their counts are broadcast; a crowded cell's hosts are
-    dealt into blocks, and every block meets every block and all guests.
+    dealt into blocks, and every block meets every other once, and all guests.
     rep and fp are never null (a null text has a fingerprint); repeated rows of
     one rep only repeat work; an empty table gives an empty table.
     confirm: classes close by fingerprint link only if the Jaccard similarity
@@ -241,9 +241,12 @@ def links(celled: DataFrame, steps: list[int], lanes: int, radius: int, least_ra
     counts = F.broadcast(celled.groupBy("cell").agg(F.ceil(F.count("*") / split).cast("int").alias("blocks")))
     block = F.pmod(F.hash("rep"), F.col("blocks"))
     hosts = celled.join(counts, "cell").select(*whole, "cell", block.alias("at"), "blocks")
-    # a host of block k leads its own block and visits those before it
-    own = hosts.select(*whole, "cell", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("block"), (F.col("at")).alias("own"), "blocks")
-    own = own.select(*whole, "cell", "block", F.when(F.col("block") == F.col("own"), F.lit(0)).otherwise(F.lit(1)).alias("role"))
+    # a host of block k leads its own block and visits half of the others, so
+    # that every two blocks meet once and all blocks have as many visitors
+    half = F.floor((F.col("blocks") - 1) / 2) + ((F.col("blocks") % 2 == 0) & (F.col("at") < F.col("blocks") / 2)).cast("int")
+    others = F.when(half >= 1, F.transform(F.sequence(F.lit(1), half.cast("int")), lambda d: (F.col("at") + d) % F.col("blocks"))).otherwise(F.array().cast("array<int>"))
+    own = hosts.select(*whole, "cell", F.posexplode(F.concat(F.array("at"), others)).alias("role", "block"))
+    own = own.select(*whole, "cell", "block", F.least("role", F.lit(1)).alias("role"))
     parts = own
     if steps:
         moved = celled.select(*whole, F.explode(F.array(*[F.col("cell") + s for s in steps])).alias("cell"))

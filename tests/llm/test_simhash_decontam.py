@@ -97,7 +97,7 @@ def test_near_copies_stage(spark):
     assert kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("split", [S.SPLIT_SETS, 3])
+@pytest.mark.parametrize("split", [S.SPLIT_SETS, 3, 20])
 def test_near_copies_by_exact_similarity(spark, split, monkeypatch):
     """Fingerprints of texts at 0.6 to 0.8 are close, but only 0.8 links."""
     monkeypatch.setattr(S, "SPLIT_SETS", split)
