@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -110,26 +111,39 @@ def copy_weights(texts: list[str]) -> np.ndarray:
 
 
 class _Bags:
-    """Distinct subwords of the words of labelled rows, as numbers.
+    """Subwords of the words of labelled rows, as numbers.
 
-    Only subwords that toxic rows hold get a number, so the table is bounded
-    by the toxic part of the sample.
+    Only subwords that toxic rows of weight MIN_TOXIC hold have a number;
+    toxic is the weight of the toxic rows that hold each.
     """
 
-    def __init__(self, texts: list[str], labels: np.ndarray):
+    def __init__(self, texts: list[str], labels: np.ndarray, weight: np.ndarray):
         self.index, words, sizes = split(pa.array(texts, pa.string()))
         self.ends = np.cumsum(sizes)
-        self.number: dict[str, int] = {}
-        toxic = np.zeros(len(words), dtype=bool)
-        toxic[self.index[np.repeat(labels > 0, sizes)]] = True
-        held: list = [None] * len(words)
-        for w in np.flatnonzero(toxic).tolist():
-            held[w] = [self.number.setdefault(s, len(self.number)) for s in subwords(words[w])]
-        for w in np.flatnonzero(~toxic).tolist():
-            held[w] = [self.number[s] for s in subwords(words[w]) if s in self.number]
-        self.sizes = np.fromiter(map(len, held), dtype=np.int64, count=len(held))
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.fromiter((s for each in held for s in each), dtype=np.int32, count=int(self.sizes.sum()))
+        self.sizes, self.starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        held = np.zeros(len(words), dtype=bool)
+        held[self.index[np.repeat(labels > 0, sizes)]] = True
+        number: dict[str, int] = {}
+        flat = array("i")
+        for w in np.flatnonzero(held).tolist():
+            self.starts[w] = len(flat)
+            flat.extend(number.setdefault(s, len(number)) for s in subwords(words[w]))
+            self.sizes[w] = len(flat) - self.starts[w]
+        self.flat = np.array(flat, dtype=np.int32)
+        toxic = np.zeros(len(number))
+        for k in np.flatnonzero(labels > 0).tolist():
+            toxic[np.unique(self.row(k, True))] += weight[k]
+        often = np.flatnonzero(toxic >= MIN_TOXIC)
+        names = list(number)
+        self.toxic, self.number = toxic[often], {names[s]: i for i, s in enumerate(often.tolist())}
+        del names, number
+        self.keep(often, len(toxic))
+        flat, n = array("i"), len(self.flat)
+        for w in np.flatnonzero(~held).tolist():
+            self.starts[w] = n + len(flat)
+            flat.extend(self.number[s] for s in subwords(words[w]) if s in self.number)
+            self.sizes[w] = n + len(flat) - self.starts[w]
+        self.flat = np.concatenate([self.flat, np.array(flat, dtype=np.int32)])
 
     def row(self, k: int, distinct: bool) -> np.ndarray:
         """Numbers of a row's subwords, from its distinct words or from all."""
@@ -137,14 +151,17 @@ class _Bags:
         words = np.unique(words) if distinct else words
         return ragged(self.flat, self.starts[words], self.sizes[words])
 
-    def keep(self, chosen: np.ndarray) -> None:
-        """Renumbers the chosen subwords and forgets the others."""
-        new = np.full(len(self.number), -1, dtype=np.int32)
+    def keep(self, chosen: np.ndarray, of: int) -> None:
+        """Renumbers the chosen subwords of `of`, and forgets the others."""
+        new = np.full(of, -1, dtype=np.int32)
         new[chosen] = np.arange(len(chosen))
-        flat = new[self.flat]
-        word = np.repeat(np.arange(len(self.sizes)), self.sizes)[flat >= 0]
-        self.flat, self.sizes = flat[flat >= 0], np.bincount(word, minlength=len(self.sizes))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        order = np.argsort(self.starts, kind="stable")
+        order = order[self.sizes[order] > 0]
+        word = np.repeat(order, self.sizes[order])
+        flat = new[ragged(self.flat, self.starts[order], self.sizes[order])]
+        self.sizes = np.bincount(word[flat >= 0], minlength=len(self.sizes))
+        self.starts[order] = np.cumsum(self.sizes[order]) - self.sizes[order]
+        self.flat = flat[flat >= 0]
 
 
 Parameters = dict[str, np.ndarray]
@@ -181,19 +198,19 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     prior = math.log((n1 + 0.5) / (n0 + 0.5))
     if not (labels > 0).any():
         return Model(prior, {})
-    bags = _Bags(texts, labels)
-    held = np.zeros((2, len(bags.number)))  # weight of the rows that hold a subword, by label
-    for k, label in enumerate(labels.tolist()):
-        held[label, np.unique(bags.row(k, True))] += weight[k]
-    a, c = held[1] + 0.5, held[0] + 0.5
-    b, d = n1 - held[1] + 0.5, n0 - held[0] + 0.5
+    bags = _Bags(texts, labels, weight)
+    other = np.zeros(len(bags.number))  # weight of the other rows that hold each subword
+    for k in np.flatnonzero(labels == 0).tolist():
+        other[np.unique(bags.row(k, True))] += weight[k]
+    a, c = bags.toxic + 0.5, other + 0.5
+    b, d = n1 - bags.toxic + 0.5, n0 - other + 0.5
     odds = np.log(a * d / (b * c))
-    tied = (held[1] >= MIN_TOXIC) & (odds >= math.log(MIN_ODDS)) & (odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d) >= MIN_Z)
+    tied = (odds >= math.log(MIN_ODDS)) & (odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d) >= MIN_Z)
     chosen = np.flatnonzero(tied)
     if not len(chosen):
         return Model(prior, {})
     names = list(bags.number)
-    bags.keep(chosen)
+    bags.keep(chosen, len(names))
     parts = []
     for k in range(len(rows)):
         column, n = np.unique(bags.row(k, False), return_counts=True)
