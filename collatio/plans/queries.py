@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from collatio.functions import text as T
 from collatio.operators import align, parse, reports, segment
-from collatio.plans import corpora, witnesses
+from collatio.plans import corpora, files, witnesses
 from collatio.profiles import LATIN
 from collatio.sources import readers
 from collatio.storage import spread
@@ -181,7 +181,7 @@ QUERIES = {
         plain_text, char_counts, line_numbers, page_text, stage_counters, numerals, sexagenary_years,
     )
 }
-QUERIES |= witnesses.QUERIES | corpora.QUERIES
+QUERIES |= witnesses.QUERIES | corpora.QUERIES | files.QUERIES
 
 _CATEGORY = "CASE WHEN contains(plain, 'tion') AND contains(plain, 'ment') THEN 'both' WHEN contains(plain, 'tion') THEN 'tion_only' WHEN contains(plain, 'ment') THEN 'ment_only' ELSE 'neither' END"
 _BUCKET = "CASE WHEN char_count <= 3 THEN '1-3' WHEN char_count <= 10 THEN '4-10' WHEN char_count <= 30 THEN '11-30' WHEN char_count <= 60 THEN '31-60' WHEN char_count <= 100 THEN '61-100' ELSE '101+' END"
@@ -235,4 +235,4 @@ ORACLE_SQL = {
     "sexagenary_years": "SELECT o_orderkey, CASE WHEN least(o_orderkey % 37, o_custkey % 31) < 30 THEN (1554 + least(o_orderkey % 37, o_custkey % 31))::INT END AS year FROM orders",
     "numerals": "SELECT p_partkey, CASE WHEN p_size = 0 THEN -1 ELSE p_size END AS number FROM part",
 }
-ORACLE_SQL |= witnesses.ORACLE_SQL | corpora.ORACLE_SQL
+ORACLE_SQL |= witnesses.ORACLE_SQL | corpora.ORACLE_SQL | files.ORACLE_SQL

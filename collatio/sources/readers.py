@@ -41,7 +41,7 @@ LETTER_ROWS = (
 
 
 def marked_text(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """(file_name, text): whole files, line breaks as they are."""
+    """(file_name, text): whole files of one folder, line breaks as they are; names tell them apart."""
     files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
 
@@ -156,7 +156,7 @@ def _tei_rows(root: ElementTree.Element) -> Iterator[tuple]:
 
 
 def tei(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
-    """Sections, headings and paragraphs of XML files, one row for each."""
+    """Sections, headings and paragraphs of the XML files of one folder, one row for each; names tell files apart."""
     names = [c.split()[0] for c in TEI_ITEMS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -41,3 +41,14 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(2 * cores) if size < cores * SPREAD_BYTES else df
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file of the driver's, on any storage that Spark reads."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()

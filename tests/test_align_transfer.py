@@ -115,3 +115,46 @@ def test_empty(spark):
     assert align.weighted_means(align.summary(align.align(none, none))).first().strict == 0.0
     assert transfer.punctuate(none, none)[0].count() == 0
     assert HAN_CORPUS.small_delete == 3
+
+
+def test_last_row_of_a_label_is_that_of_the_files(spark):
+    """Repeated labels in one file, and in the XML witness, whose file names are empty."""
+    from collatio.schemas import SECTION
+
+    def section(text, place, no, name=None, source=None, number=1):
+        return (number, "卷一", name, source, [], [text], [text], [None], text, place, no)
+
+    rows = [section(f"t{i}", "x.xml", i, source="tei") for i in range(6)]
+    for parts in (1, 2, 5):
+        table = spark.createDataFrame(rows, SECTION).repartition(parts)
+        assert align.last_per_label(table).first().raw_concat == "t5"
+    two = spark.createDataFrame([section("late", "b.txt", 1, "b.txt", number=0), section("early", "a.txt", 9, "a.txt", number=7)], SECTION)
+    assert align.last_per_label(two).first().raw_concat == "late"
+
+
+def test_ids_follow_the_files(spark):
+    """Front sections share number and file: ids keep the order in which they stand; equal labels stay apart."""
+    from collatio.operators import segment
+    from collatio.schemas import PUNCTUATED
+
+    labels = ["提要", "原序", "門目", "姓氏", "姓氏"]
+    rows = [(0, label, "f.txt", [], [f"甲。乙{i}。丙。"], [f"甲。乙{i}。丙。"], [""], [None], 0, True, "f.txt", i) for i, label in enumerate(labels)]
+    for parts in (1, 3):
+        found = segment.corpus_sentences(spark.createDataFrame(rows, PUNCTUATED).repartition(parts)).orderBy("seq").collect()
+        assert [r.juan_label for r in found] == [x for x in labels for _ in range(3)]
+        assert [r.text_punctuated for r in found][1::3] == [f"乙{i}。" for i in range(5)]
+        assert [r.sentence_id for r in found] == [f"S{k:06d}" for k in range(1, 16)]
+
+
+def test_names_that_clash_and_nulls(spark):
+    from collatio.operators import parse, segment
+
+    rows = spark.createDataFrame([("a", 1, "x", 9), ("a", 2, "x", 8), (None, 1, None, 7)], "_n string, _k int, _part string, _base int")
+    assert parse.drop_repeats(rows, ["_n"], "_part", "_k", limit=2).count() == 2
+    assert sorted(tuple(r) for r in align.last_per_label(rows, "_part", ["_k"]).select("_k", "_base").collect()) == [(1, 7), (2, 8)]
+    numbered = segment.number_globally(rows, ["_n"], ["_k"]).select("_k", "_base", "seq").collect()
+    assert sorted(tuple(r) for r in numbered) == [(1, 7, 1), (1, 9, 2), (2, 8, 3)]
+    a, b = spark.createDataFrame([("p",), (None,)], "juan_label string"), spark.createDataFrame([("q",), (None,), (None,)], "juan_label string")
+    assert sorted(map(tuple, align.unmatched(a, b).collect()), key=str) == [("p", "a"), ("q", "b"), (None, "a"), (None, "b")]
+    assert parse.missing_numbers(spark.createDataFrame([(2,), (None,), (5,), (5,)], "n int"), "n").orderBy("n").toPandas()["n"].tolist() == [3, 4]
+    assert parse.missing_numbers(spark.createDataFrame([(None,)], "n int"), "n").count() == 0
