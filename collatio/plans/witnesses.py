@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from collatio.functions import text as T
 from collatio.operators import align, reports, segment, transfer
 from collatio.profiles import HAN_CORPUS
-from collatio.storage import materialised
+from collatio.storage import materialised, spread
 
 #: Words of a section: as many characters tell positions apart.
 SECTION_WORDS = 60_000
@@ -28,31 +28,36 @@ _FIVE, _TWO = "豈" * 5, "更" * 2
 _MARKS = ((".", "。」"), (",", "，"), ("?", "？"), ("!", "！"), (";", "；"), (":", "："))
 
 
-def _character(code: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+def _alphabet(n: Column, first: int, many: int) -> Column:
+    """Characters of the places 0 to n - 1, decoded in one go."""
+    codes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.hex(i % many + first), 8, "0"))
+    return T.chars(F.decode(F.unhex(F.array_join(codes, "")), "UTF-32"))
 
 
 def sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(witness a, witness b) of all documents, as parsed sections."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.split(F.coalesce("text", F.lit("")), " ").alias("words"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", F.split(F.coalesce("text", F.lit("")), " ").alias("words"))
     blocks = docs.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / SECTION_WORDS).cast("int"))).alias("block"))
     words = blocks.select("doc_id", "block", F.slice("words", F.col("block") * SECTION_WORDS + 1, F.lit(SECTION_WORDS)).alias("words"))
     label = F.concat_ws(".", "doc_id", "block")
 
-    def in_a(word: Column, at: Column) -> Column:
-        size, own = F.length(word), _character(at + _FIRST)
-        other, second = _character(at % 20_000 + _OTHER), _character(at % 6_000 + _SECOND)
+    def in_a(x: Column, at: Column) -> Column:
+        size = F.length(x["words"])
         piece = (
-            F.when(size == 7, other).when(size == 8, F.lit("")).when(size == 9, F.concat(other, second))
-            .when(size == 10, F.concat(own, F.lit(_FIVE))).when(size == 11, F.concat(own, F.lit(_TWO))).otherwise(own)
+            F.when(size == 7, x["other"]).when(size == 8, F.lit("")).when(size == 9, F.concat(x["other"], x["second"]))
+            .when(size == 10, F.concat(x["own"], F.lit(_FIVE))).when(size == 11, F.concat(x["own"], F.lit(_TWO))).otherwise(x["own"])
         )
-        return F.concat(F.when(word.contains("\n") & (at > 0), F.lit("\n")).otherwise(F.lit("")), piece)
+        return F.concat(F.when(x["words"].contains("\n") & (at > 0), F.lit("\n")).otherwise(F.lit("")), piece)
 
-    def in_b(word: Column, at: Column) -> Column:
+    def in_b(word: Column, own: Column) -> Column:
         mark = F.lit("")
         for end, written in _MARKS:
             mark = F.when(word.endswith(end), F.lit(written)).otherwise(mark)
-        return F.concat(_character(at + _FIRST), mark)
+        return F.concat(own, mark)
+
+    # arguments of transform and zip_with are worked out once, not for each word
+    n = F.size("words")
+    own, other, second = _alphabet(n, _FIRST, SECTION_WORDS), _alphabet(n, _OTHER, 20_000), _alphabet(n, _SECOND, 6_000)
 
     def section(source: str, label: Column, paragraphs: Column, no: int) -> list[Column]:
         return [
@@ -62,10 +67,11 @@ def sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
             F.format_string("%012d", "doc_id").alias("source_file"), (F.col("block") * 2 + no).cast("long").alias("section"),
         ]
 
-    whole = F.split(F.array_join(F.transform("words", in_a), ""), "\n")
+    zipped = F.arrays_zip("words", own.alias("own"), other.alias("other"), second.alias("second"))
+    whole = F.split(F.array_join(F.transform(zipped, in_a), ""), "\n")
     a = words.select(section("a", label, F.filter(whole, lambda p: p != ""), 0))
     named = F.when(F.size("words") < SHORT, F.concat(label, F.lit(" short"))).otherwise(label)
-    right = F.array(F.concat(F.lit("「"), F.array_join(F.transform("words", in_b), "")))
+    right = F.array(F.concat(F.lit("「"), F.array_join(F.zip_with("words", own, in_b), "")))
     b = words.select(section("b", named, F.array(F.lit("無")), 0)).unionByName(words.select(section("b", named, right, 1)))
     return a, b
 
@@ -88,7 +94,7 @@ def align_mismatches(spark, sf_dir):
 
 def mismatch_split(spark, sf_dir):
     """How many rows the three mismatch exports hold."""
-    rows = align.split_mismatches(align.mismatches(_aligned(spark, sf_dir)))
+    rows = align.split_mismatches(align.mismatches(materialised(_aligned(spark, sf_dir))))
     named = [part.select(F.lit(name).alias("export")) for name, part in zip(("all", "variant", "substantive"), rows)]
     return named[0].unionByName(named[1]).unionByName(named[2]).groupBy("export").agg(F.count("*").alias("n"))
 
