@@ -46,6 +46,8 @@ DIM, EPOCHS, RATE, DECAY, SEED = 8, 300, 0.05, 1e-5, 7
 THRESHOLD = 0.7
 #: Words of which a worker keeps the sums.
 TABLE_ENTRIES = 150_000
+#: Rows of the sample whose bags are taken at once.
+BLOCK_ROWS = 512
 #: Texts that are cut into words at once.
 SLICE_ROWS = 1000
 
@@ -157,9 +159,11 @@ class _Bags:
         new[chosen] = np.arange(len(chosen))
         order = np.argsort(self.starts, kind="stable")
         order = order[self.sizes[order] > 0]
-        word = np.repeat(order, self.sizes[order])
-        flat = new[ragged(self.flat, self.starts[order], self.sizes[order])]
-        self.sizes = np.bincount(word[flat >= 0], minlength=len(self.sizes))
+        # the words' stretches lie one behind the other in this order
+        flat = new[self.flat]
+        self.sizes = np.zeros_like(self.sizes)
+        if len(order):
+            self.sizes[order] = np.add.reduceat(flat >= 0, self.starts[order], dtype=np.int64)
         self.starts[order] = np.cumsum(self.sizes[order]) - self.sizes[order]
         self.flat = flat[flat >= 0]
 
@@ -175,18 +179,23 @@ def gradients(p: Parameters, bag: tuple[np.ndarray, np.ndarray, np.ndarray], y:
     """
     row, column, share = bag
     mean = np.zeros((len(y), p["e"].shape[1]))
-    if len(row):
-        starts = np.flatnonzero(np.r_[True, np.diff(row) != 0])
-        mean[row[starts]] = np.add.reduceat(p["e"][column] * share[:, None], starts)
+    cuts = np.searchsorted(row, np.arange(0, len(y) + BLOCK_ROWS, BLOCK_ROWS)).tolist()
+    blocks = [slice(x, z) for x, z in zip(cuts, cuts[1:]) if x < z]
+    for k in blocks:
+        starts = np.flatnonzero(np.r_[True, np.diff(row[k]) != 0])
+        mean[row[k][starts]] = np.add.reduceat(p["e"][column[k]] * share[k, None], starts)
     z = mean @ p["w"] + p["b"]
     z -= z.max(axis=1, keepdims=True)
     log = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
     total = weight.sum()
     loss = -(weight[:, None] * y * log).sum() / total + 0.5 * DECAY * ((p["e"] ** 2).sum() + (p["w"] ** 2).sum())
     off = weight[:, None] * (np.exp(log) - y) / total
-    back = (off @ p["w"].T)[row] * share[:, None]
-    e = np.stack([np.bincount(column, back[:, d], len(p["e"])) for d in range(back.shape[1])], axis=1)
-    return loss, {"e": e + DECAY * p["e"], "w": mean.T @ off + DECAY * p["w"], "b": off.sum(axis=0)}
+    inner, e = off @ p["w"].T, DECAY * p["e"]
+    for k in blocks:
+        back = inner[row[k]] * share[k, None]
+        for d in range(back.shape[1]):
+            e[:, d] += np.bincount(column[k], back[:, d], len(e))
+    return loss, {"e": e, "w": mean.T @ off + DECAY * p["w"], "b": off.sum(axis=0)}
 
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
@@ -216,6 +225,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
         column, n = np.unique(bags.row(k, False), return_counts=True)
         parts.append((np.full(len(column), k), column, n / max(1, n.sum())))
     bag = tuple(np.concatenate(x) for x in zip(*parts))
+    del bags, parts
     y = np.eye(2)[labels]
     rng = np.random.default_rng(SEED)
     p = {"e": rng.normal(0, 0.1, (len(chosen), DIM)), "w": rng.normal(0, 0.1, (DIM, 2)), "b": np.zeros(2)}
