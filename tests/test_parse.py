@@ -86,3 +86,18 @@ def test_inventory(spark, tmp_path):
     files = readers.inventory(spark, str(tmp_path))
     assert tuple(readers.directory_size(files).first()) == (2, 4)
     assert [r.file_name for r in readers.missing_files(files, "f_%03d.txt", 4).collect()] == ["f_001.txt", "f_003.txt"]
+
+
+def test_fetched_at_is_in_utc(spark):
+    from datetime import datetime, timedelta, timezone
+
+    found = spark.createDataFrame([("m", "z", "p", 1, 1, 1, "d", "title", None, ["甲"])], readers.LETTER_ROWS)
+    wanted = spark.createDataFrame([("t", "m", [1], "title", None, None)], readers.TARGET)
+    known = spark.createDataFrame([("m", "z")], "munjip string, zip_name string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Seoul")
+        got = datetime.fromisoformat(L.select_letters(found, wanted, known).first().fetched_at)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got.utcoffset() == timedelta(0) and abs(datetime.now(timezone.utc) - got) < timedelta(minutes=5)
