@@ -1,6 +1,8 @@
 import io
 import zipfile
 
+import pytest
+
 from collatio.operators import letters as L
 from collatio.operators import parse, segment
 from collatio.plans import chains
@@ -101,3 +103,14 @@ def test_fetched_at_is_in_utc(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert got.utcoffset() == timedelta(0) and abs(datetime.now(timezone.utc) - got) < timedelta(minutes=5)
+
+
+def test_target_files(spark, tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "t.yaml"
+    path.write_text("one:\n  munjip: toegye\n  kwon: [3, 4]\n  title_pattern: '[答與]甲'\n  label: T\n", encoding="utf-8")
+    assert [tuple(r) for r in readers.targets(spark, str(path)).collect()] == [("one", "toegye", [3, 4], "[答與]甲", "T", None)]
+    path.write_text("", encoding="utf-8")
+    assert readers.targets(spark, str(path)).count() == readers.targets(spark).count() == 2
+    with pytest.raises(ValueError):
+        L.check_targets(spark.createDataFrame([("t", "other", [1], "x", None, None)], readers.TARGET), readers.collections(spark))
