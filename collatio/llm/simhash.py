@@ -10,11 +10,16 @@ a task emits only links that join what it has not joined yet, at most one for
 each fingerprint it holds, so a group of near copies never turns into all its
 pairs.  Nothing is capped: tiles of a crowded signature are split and every
 pair of the splits is compared.
+
+At the radius of near copies bit counts prune nothing, so there fingerprints are
+compared only where the texts share one of their rarest shingles, as any two of
+the similarity asked for must.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +40,12 @@ SPLIT = 65536
 SPLIT_SETS = 1024
 #: Bytes of visitors that a task holds before they are compared.
 HELD_BYTES = 1 << 25
+#: Counters of shingles, by the first bits of their hash, and the slices they travel in.
+COUNT_BITS, COUNT_SLICES = 20, 16
+#: Shingles of a bucket, on the mean, where texts meet by the shingles they share.
+BUCKET = 1 << 19
+#: Texts that share a shingle are paired up to this number, and beyond it linked by spanning().
+PAIRED = 8
 SEED = 42
 
 
@@ -104,10 +115,12 @@ def fingerprints(docs: DataFrame, width: int, lanes: int = 1, distinct: bool = F
     Texts of fewer words than the shingle width give one shingle of the whole
     sequence; null, empty and blank texts give none and a fingerprint of
     zeros.  distinct: every shingle counts once, and same is a hash of the set
-    of shingles (otherwise 0).
+    of shingles (otherwise 0); there is a column counts, which is null but in
+    rows for shingle_counts() that are no documents.
     """
 
     def run(batches):
+        counts, held, weight = np.zeros(1 << COUNT_BITS if distinct else 0, np.int64), [], 0
         for batch in batches:
             rows, same = [], []
             for text in batch.column(2):
@@ -115,16 +128,67 @@ def fingerprints(docs: DataFrame, width: int, lanes: int = 1, distinct: bool = F
                     found = shingle_set(text.as_py(), width)
                     pieces = iter([found] if len(found) else [])
                     same.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                    held.append(found)
+                    weight += len(found)
+                    if weight > CHUNK_SHINGLES:
+                        counts += _counted(held)
+                        held, weight = [], 0
                 else:
                     pieces = shingle_hashes(words_of(text.as_py()), width)
                     same.append(0)
                 rows.append(fingerprint(pieces, lanes))
             fps = pa.array([fp.view(np.int64) for fp, _ in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array([n for _, n in rows], pa.int64()), pa.array(np.array(same, dtype=np.uint64).view(np.int64))], names=["id", "sha", "fp", "n_shingles", "same"])
-
+            columns = [batch.column(0), batch.column(1), fps, pa.array([n for _, n in rows], pa.int64()), pa.array(np.array(same, dtype=np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(rows), pa.binary())] * distinct, names=names)
+        if held:
+            counts += _counted(held)
+        if counts.any():
+            slices = np.minimum(counts, 255).astype(np.uint8).reshape(COUNT_SLICES, -1)
+            none = [pa.nulls(COUNT_SLICES, kind) for kind in (pa.int64(), pa.string(), pa.list_(pa.int64()))]
+            of = pa.array(range(COUNT_SLICES), pa.int64())
+            yield pa.RecordBatch.from_arrays([*none, of, of, pa.array([zlib.compress(x.tobytes(), 1) for x in slices], pa.binary())], names=names)
+
+    names = ["id", "sha", "fp", "n_shingles", "same"] + ["counts"] * distinct
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.sha2(text, 256).alias("sha"), text.alias("text"))
-    return slim.mapInArrow(run, "id long, sha string, fp array<long>, n_shingles long, same long")
+    return slim.mapInArrow(run, "id long, sha string, fp array<long>, n_shingles long, same long" + ", counts binary" * distinct)
+
+
+def _counted(sets: list[np.ndarray]) -> np.ndarray:
+    places = (np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+    return np.bincount(places, minlength=1 << COUNT_BITS)
+
+
+def shingle_counts(counted: DataFrame) -> np.ndarray:
+    """About how many rows bear the shingles of each counter; counted: rows of fingerprints() with counts.
+
+    A list of fixed length.  A partition adds 255 to a counter at most: the
+    counts only say which shingles to take first, and any order is right.
+    """
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for at, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[at] = sums.get(at, 0) + np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["at", "counts"])
+
+    out = np.zeros((COUNT_SLICES, (1 << COUNT_BITS) // COUNT_SLICES), np.uint32)
+    for row in counted.select(F.col("n_shingles").alias("at"), "counts").repartition("at").mapInArrow(add, "at long, counts binary").collect():
+        out[row.at] += np.frombuffer(row.counts, np.uint32)
+    return out.ravel()
+
+
+def rarest(found: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set, by count, then hash: two sets whose Jaccard
+    similarity is at least `least` have one of them in common.
+
+    They share at least least * n of the n shingles of either, so at most
+    n - least * n of a set come before the first that is shared.
+    """
+    n = len(found)
+    order = np.argsort(counts[(found >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], kind="stable")
+    return found[order[: n - math.ceil(least * n - 1e-9 * n) + 1]]
 
 
 def popcounts(fps: np.ndarray, parts: int) -> np.ndarray:
@@ -153,6 +217,39 @@ class Forest:
         return True
 
 
+def spanning(fps: np.ndarray, sizes: np.ndarray, radius: int, least_ratio: float) -> list[tuple[int, int]]:
+    """Links, at most one a row, that connect all rows linked by radius and quotient.
+
+    One row at a time is compared with those not joined to it.  Of two rows in
+    different components one is outside the largest, so that one needs no
+    comparisons of its own, and a group of near copies costs its rows, not
+    their pairs.
+    """
+    n = len(fps)
+    label, count = np.arange(n), np.ones(n, np.int64)
+    waiting, out, x = np.ones(n, bool), [], 0
+    while True:
+        waiting[x] = False
+        other = np.flatnonzero(waiting & (label != label[x]))
+        if len(other):
+            distance = np.bitwise_count(fps[other] ^ fps[x]).sum(axis=1, dtype=np.int64)
+            fit = np.minimum(sizes[other], sizes[x]) >= least_ratio * np.maximum(sizes[other], sizes[x])
+            for y in other[(distance <= radius) & fit].tolist():
+                here, there = label[x], label[y]
+                if here != there:
+                    out.append((x, y))
+                    if count[there] == 1:
+                        label[y] = here
+                    else:
+                        label[label == there] = here
+                    count[here] += count[there]
+                    count[there] = 0
+        rest = np.flatnonzero(waiting & (label != np.argmax(count)))
+        if not len(rest):
+            return out
+        x = int(rest[0])
+
+
 def _bounds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest count of every part in each tile of TILE rows."""
     starts = np.arange(0, len(counts), TILE)
@@ -231,6 +328,8 @@ def links(celled: DataFrame, steps: list[int], lanes: int, radius: int, least_ra
     own cell and guest in those a step away.  The number of cells is bounded by
     the signature, so their counts are broadcast; a crowded cell's hosts are
     dealt into blocks, and every block meets every other once, and all guests.
+    Without steps there may be any number of cells; only the counts of crowded
+    ones are broadcast.
     rep and fp are never null (a null text has a fingerprint); repeated rows of
     one rep only repeat work; an empty table gives an empty table.
     confirm: classes close by fingerprint link only if the Jaccard similarity
@@ -238,9 +337,10 @@ def links(celled: DataFrame, steps: list[int], lanes: int, radius: int, least_ra
     out only for those not yet joined by links that held.
     """
     whole = ["rep", "fp", "size"] + (["grams"] if confirm is not None else [])
-    counts = F.broadcast(celled.groupBy("cell").agg(F.ceil(F.count("*") / split).cast("int").alias("blocks")))
-    block = F.pmod(F.hash("rep"), F.col("blocks"))
-    hosts = celled.join(counts, "cell").select(*whole, "cell", block.alias("at"), "blocks")
+    counts = celled.groupBy("cell").agg(F.ceil(F.count("*") / split).cast("int").alias("blocks"))
+    counts = F.broadcast(counts if steps else counts.where("blocks > 1"))
+    counted = celled.join(counts, "cell", "inner" if steps else "left").fillna(1, ["blocks"])
+    hosts = counted.select(*whole, "cell", F.pmod(F.hash("rep"), F.col("blocks")).alias("at"), "blocks")
     # a host of block k leads its own block and visits half of the others, so
     # that every two blocks meet once and all blocks have as many visitors
     half = F.floor((F.col("blocks") - 1) / 2) + ((F.col("blocks") % 2 == 0) & (F.col("at") < F.col("blocks") / 2)).cast("int")
@@ -378,30 +478,195 @@ def near_groups(docs: DataFrame, width: int = NEAR_WIDTH, lanes: int = NEAR_LANE
     A class is a set of shingles.  Two classes are candidates if their wide
     fingerprints differ in at most radius bits and their sizes have a quotient
     of at least least_ratio (which the similarity implies); they link if the
-    Jaccard similarity of the sets is at least least_ratio.  A cell is a step
-    of that quotient, so only cells next to each other meet; within them every
-    pair is compared.  Sets are made, from the texts, only of classes that have
-    a candidate, and compared where the fingerprints are compared again.
+    Jaccard similarity of the sets is at least least_ratio.  Fingerprints are
+    compared where classes share one of their rarest() shingles (which the
+    similarity implies too), and then all with all inside a component of
+    candidates, where links are confirmed on the sets.  Sets are kept only of
+    classes that have a candidate.
     classes: (rep, root, best), best being the row of the class with the
     smallest id, then text hash; members: (id, sha, rep), with copies.
     Null, empty and blank texts are one class; null ids come last.
     """
-    prints = fingerprints(docs, width, lanes, True, id_col, text_col)
-    members = cut(prints.groupBy("id", "sha", "fp", "n_shingles", "same").agg(F.count("*").alias("n")))
+    prints = cut(fingerprints(docs, width, lanes, True, id_col, text_col))
+    members = prints.where("counts IS NULL").groupBy("id", "sha", "fp", "n_shingles", "same").agg(F.count("*").alias("n"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha", "n")).alias("best")
     classes = cut(members.groupBy("fp", "n_shingles", "same").agg(best).withColumn("rep", F.monotonically_increasing_id()), slim=True)
-    step = math.log(1 / least_ratio) * (1 + 1e-6)
-    cell = F.when(F.col("n_shingles") > 0, F.floor(F.log(F.col("n_shingles").cast("double")) / step)).otherwise(-2)
-    celled = classes.select("rep", "fp", F.col("n_shingles").alias("size"), cell.cast("int").alias("cell"), "best")
-    found = links(celled.drop("best"), [1], lanes, radius, least_ratio)
-    near = cut(found.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), slim=True)
-    close = cut(_with_sets(docs, celled.join(near, "rep", "left_semi"), width, id_col, text_col))
-    edges = cut(links(close, [1], lanes, radius, least_ratio, SPLIT_SETS, confirm=least_ratio), slim=True)
-    roots = connected_components(edges)
+    named = classes.select("rep", "fp", F.col("n_shingles").alias("size"), "same")
+    counts = shingle_counts(prints.where("counts IS NOT NULL"))
+    first = members.agg(F.sum(F.ceil(F.col("n_shingles") * (1 - least_ratio)) + 1)).first()[0] or 0
+    found = _sharing(docs, counts, max(4 * docs.sparkSession.sparkContext.defaultParallelism, first // BUCKET), width, least_ratio, text_col)
+    near = connected_components(_candidates(found, named, lanes, radius, least_ratio))
+    celled = classes.join(near, classes.rep == near.node).select("rep", "fp", F.col("n_shingles").alias("size"), F.col("root").alias("cell"), "best")
+    crowded = near.groupBy(F.col("root").alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_SETS).select("cell")
+    close = _with_sets(docs, celled, width, id_col, text_col)
+    if crowded.isEmpty():
+        roots = _confirmed(close, lanes, radius, least_ratio)
+    else:
+        close, crowded = cut(close), F.broadcast(cut(crowded, slim=True))
+        roots = _confirmed(close.join(crowded, "cell", "left_anti"), lanes, radius, least_ratio)
+        edges = cut(links(close.join(crowded, "cell", "left_semi"), [], lanes, radius, least_ratio, SPLIT_SETS, confirm=least_ratio), slim=True)
+        roots = roots.unionByName(connected_components(edges))
     rooted = classes.join(roots, classes.rep == roots.node, "left")
     return rooted.select("rep", "fp", "n_shingles", F.coalesce("root", "rep").alias("root"), "best"), members
 
 
+def _sharing(docs: DataFrame, counts: np.ndarray, buckets: int, width: int, least_ratio: float, text_col: str) -> DataFrame:
+    """(token, a, b): sets, named by their hash, with a shingle in common among their rarest.
+
+    Up to PAIRED sets that share one are paired: token null, a and b sets.  Of
+    more there is a row for each: a the set, token what they share, b null.
+    Shingles go by bucket and half their hash; that two fall together only adds
+    candidates.
+    """
+    order = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def deal(batches):
+        firsts, names, weight = [], [], 0
+
+        def dealt():
+            tokens = np.concatenate(firsts)
+            owner = np.repeat(np.array(names, np.uint64), [len(x) for x in firsts])
+            bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            tokens, owner, bucket = (tokens[by] >> np.uint64(32)).astype(np.uint32), owner[by], bucket[by]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]
+            columns = [[x[s:e].tobytes() for s, e in zip(starts, ends)] for x in (tokens, owner)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "tokens", "owners"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                found = shingle_set(text.as_py(), width)
+                if len(found):
+                    firsts.append(rarest(found, order.value, least_ratio))
+                    names.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                    weight += len(firsts[-1])
+                    if weight > 2 * BUCKET:
+                        yield dealt()
+                        firsts, names, weight = [], [], 0
+        if firsts:
+            yield dealt()
+
+    def paired(bucket, tokens, owner):
+        by = np.lexsort((owner, tokens))
+        tokens, owner = tokens[by], owner[by]
+        fresh = np.ones(len(tokens), bool)
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])  # copies bear one set
+        tokens, owner = tokens[fresh], owner[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        sizes = np.diff(np.append(starts, len(tokens)))
+        shared = np.repeat(sizes, sizes)
+        pairs = []
+        few = (shared > 1) & (shared <= PAIRED)
+        t, o = tokens[few], owner[few]
+        for k in range(1, PAIRED):
+            at = np.flatnonzero(t[k:] == t[:-k])
+            pairs.append(np.column_stack([o[at], o[at + k]]))
+        pairs = np.unique(np.concatenate(pairs), axis=0).view(np.int64)
+        many = shared > PAIRED
+        token = (np.uint64(bucket) << np.uint64(32) | tokens[many].astype(np.uint64)).view(np.int64)
+        for columns in ((pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])), (pa.array(token), pa.array(owner[many].view(np.int64)), pa.nulls(len(token), pa.int64()))):
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays(list(columns), names=["token", "a", "b"])
+
+    def meet(batches):
+        """Rows arrive sorted by bucket."""
+        now, held = None, []
+        for batch in batches:
+            for bucket, tokens, owner in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and bucket != now:
+                    yield from paired(now, *map(np.concatenate, zip(*held)))
+                    held = []
+                now = bucket
+                held.append((np.frombuffer(tokens, np.uint32), np.frombuffer(owner, np.uint64)))
+        if held:
+            yield from paired(now, *map(np.concatenate, zip(*held)))
+
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    dealt_out = texts.mapInArrow(deal, "bucket int, tokens binary, owners binary").repartition(buckets, "bucket")
+    return cut(dealt_out.sortWithinPartitions("bucket").mapInArrow(meet, "token long, a long, b long"))
+
+
+def _candidates(found: DataFrame, named: DataFrame, lanes: int, radius: int, least_ratio: float) -> DataFrame:
+    """(a, b): classes whose fingerprints and sizes are close, enough to connect all such among those that found (of _sharing) brings together.
+
+    named: (rep, fp, size, same).  A shingle shared by more than SPLIT classes
+    is a cell of links(), which has blocks for them; others are held whole.
+    """
+    one, two = (named.select(*(F.col(c).alias(f"{c}_{x}") for c in named.columns)) for x in "ab")
+    pairs = found.where("token IS NULL").select("a", "b").distinct()
+    pairs = pairs.join(one, F.col("a") == F.col("same_a")).join(two, F.col("b") == F.col("same_b"))
+    distance = sum((F.bit_count(F.col("fp_a")[k].bitwiseXOR(F.col("fp_b")[k])) for k in range(lanes)), F.lit(0))
+    alike = F.least("size_a", "size_b") >= least_ratio * F.greatest("size_a", "size_b")
+    edges = pairs.where((distance <= radius) & alike).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+    def meet(batches):
+        """Rows arrive sorted by cell."""
+
+        def joined():
+            rep, fps, size = (np.concatenate(c) for c in zip(*held))
+            ends = np.array(spanning(fps, size, radius, least_ratio), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(rep[ends[:, 0]]), pa.array(rep[ends[:, 1]])], names=["a", "b"])
+
+        now, held = None, []
+        for batch in batches:
+            rep, size, cell = (batch.column(c).to_numpy() for c in ("rep", "size", "cell"))
+            fp = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(-1, lanes)
+            cuts = (np.flatnonzero(np.diff(cell)) + 1).tolist()
+            for s, e in zip([0, *cuts], [*cuts, len(cell)] if len(cell) else []):
+                if held and cell[s] != now:
+                    yield joined()
+                    held = []
+                now = cell[s]
+                held.append((rep[s:e], fp[s:e], size[s:e]))
+        if held:
+            yield joined()
+
+    many = found.where("token IS NOT NULL").select(F.col("token").alias("cell"), "a")
+    crowded = many.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("cell")
+    celled = many.join(named, F.col("a") == F.col("same")).select("rep", "fp", "size", "cell")
+    if not crowded.isEmpty():
+        crowded = F.broadcast(cut(crowded, slim=True))
+        edges = edges.union(links(celled.join(crowded, "cell", "left_semi"), [], lanes, radius, least_ratio))
+        celled = celled.join(crowded, "cell", "left_anti").select("rep", "fp", "size", "cell")
+    edges = edges.union(celled.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "a long, b long"))
+    return edges
+
+
+def _confirmed(close: DataFrame, lanes: int, radius: int, least_ratio: float) -> DataFrame:
+    """(node, root) of the classes of each cell that link, as links() with confirm; every cell is held whole."""
+
+    def meet(batches):
+        """Rows arrive sorted by cell."""
+
+        def joined():
+            rep, fps, size, grams = (np.concatenate(c) for c in zip(*held))
+            sets, forest = [np.frombuffer(g, np.uint64) for g in grams], Forest(len(rep))
+            for i, j in close_pairs(fps, None, radius, (size, size, least_ratio)):
+                for x, y in zip(i.tolist(), j.tolist()):
+                    if forest.find(x) != forest.find(y) and jaccard(sets[x], sets[y]) >= least_ratio:
+                        forest.join(x, y)
+            return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rep[[forest.find(x) for x in range(len(rep))]])], names=["node", "root"])
+
+        now, held = None, []
+        for batch in batches:
+            rep, size, cell = (batch.column(c).to_numpy() for c in ("rep", "size", "cell"))
+            fp = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(-1, lanes)
+            grams = batch.column("grams").to_numpy(zero_copy_only=False)
+            cuts = (np.flatnonzero(np.diff(cell)) + 1).tolist()
+            for s, e in zip([0, *cuts], [*cuts, len(cell)] if len(cell) else []):
+                if held and cell[s] != now:
+                    yield joined()
+                    held = []
+                now = cell[s]
+                held.append((rep[s:e], fp[s:e], size[s:e], grams[s:e]))
+        if held:
+            yield joined()
+
+    rows = close.select("rep", "fp", "size", "cell", "grams").repartition("cell").sortWithinPartitions("cell")
+    return cut(rows.mapInArrow(meet, "node long, root long"), slim=True)
+
+
 def _with_sets(docs: DataFrame, classes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(rep, fp, size, cell) with the column grams, the shingle set of the row best."""
 
@@ -415,7 +680,7 @@ def _with_sets(docs: DataFrame, classes: DataFrame, width: int, id_col: str, tex
     named = texts.join(classes, (F.col("_sha") == F.col("best.sha")) & F.col("_id").eqNullSafe(F.col("best.id")))
     # rows repeated in full bear one class
     single = named.groupBy("rep").agg(F.first(F.struct("text", "fp", "size", "cell")).alias("row")).select("rep", "row.*")
-    return single.mapInArrow(run, "rep long, fp array<long>, size long, cell int, grams binary")
+    return single.mapInArrow(run, "rep long, fp array<long>, size long, cell long, grams binary")
 
 
 def kept_keys(docs: DataFrame, **options) -> DataFrame:

@@ -207,3 +207,41 @@ def test_decontamination_rows(spark, monkeypatch):
     assert sorted(((r.doc_id, r.contaminated, sorted(m.item_id for m in r.matches)) for r in D.scan(docs, bench).collect()), key=str) == got
     assert D.scan(docs, bench.limit(0)).where("contaminated").count() == 0
     assert D.scan(docs.limit(0), bench).count() == 0
+
+
+def test_near_copies_meet_by_shingles(spark, monkeypatch):
+    """Texts of one size that share nothing are not compared; what shares is, in groups of any size."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [" ".join(word() for _ in range(30)) for _ in range(300)]
+    base = [word() for _ in range(60)]
+    for _ in range(20):
+        rows.append(" ".join(base[:-1] + [word()]))
+    met = []
+    spread = S.links
+    monkeypatch.setattr(S, "SPLIT_SETS", 7)
+    monkeypatch.setattr(S, "links", lambda celled, *a, **b: (met.append([r["count"] for r in celled.groupBy("cell").count().collect()]), spread(celled, *a, **b))[1])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in retain(docs, S.kept_keys(docs)).collect()) == list(range(301))
+    assert met and max(max(n) for n in met) <= 20
+
+
+def test_spanning_and_rarest():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**63, (12, 4), dtype=np.uint64)[rng.integers(0, 12, 200)]
+    fps ^= np.uint64(1) << rng.integers(0, 64, (200, 4)).astype(np.uint64)
+    sizes = rng.integers(50, 200, 200)
+    one, two = S.Forest(200), S.Forest(200)
+    for i, j in S.close_pairs(fps, None, 6, (sizes, sizes, 0.8)):
+        for x, y in zip(i.tolist(), j.tolist()):
+            one.join(x, y)
+    got = S.spanning(fps, sizes, 6, 0.8)
+    assert all(two.join(x, y) for x, y in got)
+    assert [one.find(x) for x in range(200)] == [two.find(x) for x in range(200)]
+    counts = rng.integers(0, 50, 1 << S.COUNT_BITS).astype(np.uint32)
+    for n in range(1, 120):
+        for shared in range(1, n + 1):
+            every = rng.integers(0, 2**63, 2 * n, dtype=np.uint64) * np.uint64(2)
+            a, b = np.unique(every[:n]), np.unique(every[n - shared : 2 * n - shared])
+            if S.jaccard(a, b) >= 0.8:
+                assert set(S.rarest(a, counts, 0.8).tolist()) & set(S.rarest(b, counts, 0.8).tolist())
